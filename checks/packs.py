@@ -26,8 +26,8 @@ LATIN = KOREAN.with_values(
     caption_patterns=[r"th[.]?$"],
     meta_patterns=[r"subscribe", r"copyright"],
     image_source_pattern=r"(?:photo|image) by",
-    quote_patterns=[r"^[\"']", r"\bwas\b"],
-    fact_patterns=[r"\d+", r"\bthe\b", r"tion\b"],
+    quote_patterns=[r"^[\"']", r" was "],
+    fact_patterns=[r"\d+", r"the ", r"tion "],
     economy_words=["edthe", "ing", "ment", "ung"],
     noun_stopwords=["the", "and", "with", "that", "this", "les", "des", "und", "der", "die"],
     roles={"subject": ["of", "de", "la"], "time": ["on", "en"], "direction": ["er", "re"], "issue": ["is"]},

@@ -9,6 +9,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.session import spread
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -161,7 +164,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
         if name == "articles_p":
             return self.sql(PERSPECTIVE_ARRAY)
         if name in VIEWS:

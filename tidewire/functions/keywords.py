@@ -1,72 +1,103 @@
-"""Keyword expressions."""
+"""Keyword expressions.
+
+A keyword text is normalised as a whole and split once, and the tests on a word are plain predicates, so that
+after an explode they stay inside generated code; lambdas over arrays would not.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewire.functions.packs import KOREAN, TextPack
-from tidewire.functions.text import as_col, strip, wide, word_array
+from tidewire.functions.text import as_col, strip, wide
+
+
+def _joined(value, is_array: bool) -> Column:
+    """One comma text; a comma inside an array element is no separator and is dropped."""
+    if not is_array:
+        return as_col(value)
+    return F.array_join(F.transform(as_col(value), lambda w: F.replace(w, F.lit(","), F.lit(""))), ",")
+
+
+def _pieces(text: Column) -> Column:
+    """Trimmed non-empty pieces of a comma text; NULL if there is none."""
+    tight = F.regexp_replace(text, wide(r"\s*,[\s,]*"), ",")
+    return F.split(F.nullif(F.regexp_replace(tight, wide(r"^[\s,]+|[\s,]+$"), ""), F.lit("")), ",")
 
 
 def keyword_list(value, is_array: bool = False) -> Column:
     """Comma text or array of words, as an array of trimmed non-empty words."""
-    parts = as_col(value) if is_array else F.split(as_col(value), ",")
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), strip), lambda k: k != "")
+    return F.coalesce(_pieces(_joined(value, is_array)), F.array().cast("array<string>"))
 
 
 def ends_with_any(word, endings) -> Column:
-    return F.exists(word_array(endings), lambda e: F.endswith(word, e)) if endings else F.lit(False)
+    if not endings:
+        return F.lit(False)
+    return as_col(word).rlike("(?:" + "|".join(re.escape(e) for e in endings) + r")\z")
 
 
-def metric_keyword(word, pack: TextPack = KOREAN) -> Column:
-    """A keyword fit for counting, or NULL (H8)."""
-    bare = strip(F.translate(F.lower(strip(word)), pack.metric_marks, ""))
-    reject = (
+def part_of_any(word, parts) -> Column:
+    hit = F.lit(False)
+    for part in parts:
+        hit = hit | F.contains(as_col(word), F.lit(part))
+    return hit
+
+
+def is_metric_keyword(bare, pack: TextPack = KOREAN) -> Column:
+    """A cleaned keyword is fit for counting: two characters or more, no number, stopword, verb form or address."""
+    bare = as_col(bare)
+    return ~(
         (F.length(bare) < 2)
         | bare.rlike(wide(r"^\d+$"))
         | bare.isin(*pack.metric_stopwords)
         | ends_with_any(bare, pack.metric_endings)
         | F.contains(bare, F.lit("@"))
     )
-    return F.when(~reject, bare)
 
 
-def metric_keywords(keywords, pack: TextPack = KOREAN, is_array: bool = False) -> Column:
-    """Distinct countable keywords of one article."""
-    cleaned = F.transform(keyword_list(keywords, is_array), lambda k: metric_keyword(k, pack))
-    return F.array_distinct(F.filter(cleaned, lambda k: k.isNotNull()))
+def metric_keyword(word, pack: TextPack = KOREAN) -> Column:
+    """The cleaned keyword, or NULL if it is not fit for counting (H8)."""
+    bare = strip(F.translate(F.lower(strip(word)), pack.metric_marks, ""))
+    return F.when(is_metric_keyword(bare, pack), bare)
+
+
+def metric_words(keywords, pack: TextPack = KOREAN, is_array: bool = False) -> Column:
+    """Distinct cleaned words of one article; explode it and keep :func:`is_metric_keyword` (H8)."""
+    marks = pack.metric_marks.replace(",", "")
+    return F.array_distinct(_pieces(F.translate(F.lower(_joined(keywords, is_array)), marks, "")))
 
 
-def top_issue_keywords(keywords, pack: TextPack = KOREAN, is_array: bool = False) -> Column:
-    """Keywords that may become the issue of the day; repeats stay (H9)."""
-    lowered = F.transform(keyword_list(keywords, is_array), lambda k: F.lower(k))
-    stop = word_array(pack.top_issue_stopwords)
+def is_top_issue_keyword(word, pack: TextPack = KOREAN) -> Column:
+    """A lower-case word may become the issue of the day (H9)."""
+    word = as_col(word)
+    digits = F.length(F.regexp_replace(word, wide(r"[^\d]"), ""))
+    return (
+        (F.length(word) > 1) & ~word.isin(*pack.top_issue_stopwords)
+        & ~part_of_any(word, pack.top_issue_banned_parts) & (digits * 2 < F.length(word))
+    )
 
-    def keep(word):
-        digits = F.length(F.regexp_replace(word, wide(r"[^\d]"), ""))
-        ok = (F.length(word) > 1) & ~F.array_contains(stop, word) & (digits * 2 < F.length(word))
-        for part in pack.top_issue_banned_parts:
-            ok = ok & ~F.contains(word, F.lit(part))
-        return ok
 
-    return F.filter(lowered, keep)
+def top_issue_words(keywords, is_array: bool = False) -> Column:
+    """Lower-case words of one article, repeats kept."""
+    return _pieces(F.lower(_joined(keywords, is_array)))
 
 
 def is_valid_keyword(word, pack: TextPack = KOREAN, min_length: int = 2) -> Column:
     """Long enough, no digit, has a letter, no stopword, no short native word outside the allowed list,
     not verb-like; Latin words always pass the last test (H10)."""
     word = as_col(word)
-    stop = word_array(pack.keyword_stopwords)
     latin = word.rlike("^[a-zA-Z]+$")
     short_native = word.rlike(f"^[{pack.script}]{{1,2}}$")
     return (
         (F.length(word) >= min_length)
         & ~word.rlike(wide(r"\d"))
         & word.rlike(r"\p{L}")
-        & ~F.array_contains(stop, word)
-        & ~F.array_contains(stop, F.lower(word))
-        & (~short_native | F.array_contains(word_array(pack.keyword_short_allowed), word))
+        & ~word.isin(*pack.keyword_stopwords)
+        & ~F.lower(word).isin(*pack.keyword_stopwords)
+        & (~short_native | word.isin(*pack.keyword_short_allowed))
         & (latin | ~word.rlike(pack.verb_like_ending))
     )
 

@@ -49,12 +49,8 @@ def word_array(words) -> Column:
 
 def clean_article(text, pack: TextPack = KOREAN) -> Column:
     """Remove broadcast endings, bylines, credits, captions and marks, then drop stopword tokens (H1)."""
-    stop = word_array(pack.article_stopwords)
-    kept = F.filter(
-        words_of(drop_patterns(F.coalesce(as_col(text), F.lit("")), pack.article_patterns)),
-        lambda w: ~F.array_contains(stop, w),
-    )
-    return F.array_join(kept, " ")
+    words = words_of(drop_patterns(F.coalesce(as_col(text), F.lit("")), pack.article_patterns))
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*pack.article_stopwords)), " ")
 
 
 def banned_names(author) -> Column:
@@ -71,10 +67,9 @@ def article_tokens(text, author=None, pack: TextPack = KOREAN, tokenizer=None) -
     cleaned = drop_patterns(F.coalesce(as_col(text), F.lit("")), pack.token_patterns)
     tokens = tokenizer(cleaned) if tokenizer else F.regexp_extract_all(cleaned, F.lit(wide(r"\w+")), 0)
     banned = banned_names(author) if author is not None else F.array().cast("array<string>")
-    stop = word_array(pack.article_stopwords)
 
     def keep(word):
-        ok = (F.length(word) > 1) & ~F.array_contains(stop, word)
+        ok = (F.length(word) > 1) & ~word.isin(*pack.article_stopwords)
         ok = ok & ~F.exists(banned, lambda n: F.contains(word, n))
         for part in pack.token_banned_parts:
             ok = ok & ~F.contains(word, F.lit(part))

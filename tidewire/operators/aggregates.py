@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.fixed import korean as ko
-from tidewire.functions.keywords import keyword_list, metric_keyword, metric_keywords, top_issue_keywords
+from tidewire.functions.keywords import (
+    is_metric_keyword, is_top_issue_keyword, keyword_list, metric_keyword, metric_words, top_issue_words,
+)
 from tidewire.functions.labels import half_even_percent, stay_text
 from tidewire.functions.packs import KOREAN, TextPack
 from tidewire.operators.filters import enabled, on_days
@@ -112,8 +114,8 @@ def daily_keyword_metrics(articles: DataFrame, day=None, pack: TextPack = KOREAN
     live = enabled(articles).filter(F.col("published_at").isNotNull() & F.col("keywords").isNotNull())
     if day is not None:
         live = on_days(live, "published_at", day, day)
-    words = live.select(day_of("published_at").alias("date"), F.explode(metric_keywords("keywords", pack, is_array)).alias("keyword"))
-    return words.groupBy("date", "keyword").agg(F.count("*").alias("article_count"))
+    words = live.select(day_of("published_at").alias("date"), F.explode(metric_words("keywords", pack, is_array)).alias("keyword"))
+    return words.filter(is_metric_keyword("keyword", pack)).groupBy("date", "keyword").agg(F.count("*").alias("article_count"))
 
 
 def reclean_metrics(metrics: DataFrame, pack: TextPack = KOREAN) -> DataFrame:
@@ -132,9 +134,8 @@ def daily_top_issue(articles: DataFrame, first=None, last=None, tz_offset_hours:
         day_of("published_at", tz_offset_hours).alias("date"), "sentiment",
         (F.array_join("keywords", ",") if is_array else F.col("keywords")).alias("keywords"),
     )
-    mentions = days.select("date", F.explode(top_issue_keywords("keywords", pack)).alias("keyword")).groupBy("date", "keyword").agg(
-        F.count("*").alias("n")
-    )
+    words = days.select("date", F.explode(top_issue_words("keywords")).alias("keyword")).filter(is_top_issue_keyword("keyword", pack))
+    mentions = words.groupBy("date", "keyword").agg(F.count("*").alias("n"))
     best = mentions.groupBy("date").agg(
         F.min_by("keyword", F.struct(-F.col("n"), F.col("keyword"))).alias("top_keyword"), F.max("n").alias("total_mentions")
     )

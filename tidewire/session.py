@@ -60,3 +60,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-split a table that is stored in fewer pieces than there are cores, so that text work on it runs in
+    parallel; a table with enough pieces is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
