@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewire.fixed import korean as ko
 from tidewire.functions import text as tx
@@ -62,7 +63,7 @@ def central_sentence(sentences, damping: float = 0.85, rounds: int = 50, toleran
     return int(leading[np.argmax(m[leading] @ m[0])])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def central_index(sentences: pd.Series) -> pd.Series:
     return pd.Series([central_sentence(list(s)) for s in sentences], dtype="int32")
 
