@@ -44,7 +44,10 @@ def words_of(text) -> Column:
 
 
 def word_array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    """A constant array; one literal that is split once, as thousands of single literals are slow to build."""
+    if not words:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
 
 
 def clean_article(text, pack: TextPack = KOREAN) -> Column:
@@ -197,18 +200,50 @@ def contains_any(text, words) -> Column:
     return F.exists(word_array(words), lambda w: F.contains(as_col(text), w))
 
 
+def _overlaps_itself(word: str) -> bool:
+    return any(word[:k] == word[-k:] for k in range(1, len(word)))
+
+
+def _near_patterns(anchors, words, window: int) -> list:
+    """Regular expressions of which one matches exactly if a word lies in the window of an anchor."""
+    quote = lambda w: "\\Q" + w + "\\E"
+    some = "(?:" + "|".join(quote(a) for a in anchors) + ")"
+    out = []
+    for size in sorted({len(w) for w in words}):
+        if size <= window:  # the word stands wholly before or after the anchor
+            same = "(?:" + "|".join(quote(w) for w in words if len(w) == size) + ")"
+            gap = f".{{0,{window - size}}}"
+            out += [same + gap + some, some + gap + same]
+    for a in anchors:
+        for w in words:
+            if w in a:
+                out.append(quote(a))
+            out += [quote(w) for o in range(len(w) - len(a) + 1) if w[o : o + len(a)] == a and max(o, len(w) - o - len(a)) <= window]
+            for k in range(1, min(len(a), len(w))):  # the word shares k characters with an end of the anchor
+                if len(w) - k <= window:
+                    out += [quote(w + a[k:])] * (w[-k:] == a[:k]) + [quote(a + w[k:])] * (a[-k:] == w[:k])
+    return list(dict.fromkeys(out))
+
+
 def near(text, anchors, words, window: int) -> Column:
-    """Some word lies inside ``window`` characters around a non-overlapping anchor occurrence.
+    """Some word lies inside ``window`` characters around an anchor occurrence.
 
-    The text is cut at each anchor: the piece before, the anchor and the piece after share the span
-    in which the word must lie, so the work grows with the text, not with its square.
-    """
+    Whether a word stands before, after or across an anchor is known from the lists alone, so one regular expression
+    decides. Anchors that can overlap themselves count without overlaps and take the slower way over positions."""
     if not anchors or not words:
         return F.lit(False)
-    text, marks, sought = as_col(text), word_array(anchors), word_array(words)
+    text = as_col(text)
+    plain = [a for a in anchors if not _overlaps_itself(a)]
+    hit = text.rlike("(?s)" + "|".join(_near_patterns(plain, words, window))) if plain else F.lit(False)
+    tricky = [a for a in anchors if _overlaps_itself(a)]
+    return hit | _near_positions(text, tricky, words, window) if tricky else hit
+
+
+def _near_positions(text: Column, anchors, words, window: int) -> Column:
+    marks, sought = word_array(anchors), word_array(words)
 
     def around(anchor):
-        # positions where a cut piece ends, i.e. where an anchor occurrence starts
+        # a piece ends where an anchor occurrence starts
         pieces = F.split(text, F.concat(F.lit(r"\Q"), anchor, F.lit(r"\E")), -1)
         starts = F.aggregate(
             F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))),
@@ -218,20 +253,9 @@ def near(text, anchors, words, window: int) -> Column:
                 F.concat(acc["at"], F.array((acc["next"] + F.length(piece)).cast("int"))).alias("at"),
             ),
         )["at"]
-        return F.exists(
-            starts,
-            lambda i: F.exists(
-                sought,
-                lambda w: F.contains(
-                    F.substring(
-                        text,
-                        F.greatest(i - window, F.lit(1)),
-                        F.least(i - 1, F.lit(window)) + F.length(anchor) + F.lit(window),
-                    ),
-                    w,
-                ),
-            ),
-        )
+        span = lambda i: F.substring(
+            text, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)) + F.length(anchor) + F.lit(window))
+        return F.exists(starts, lambda i: F.exists(sought, lambda w: F.contains(span(i), w)))
 
     return F.exists(marks, around)
 

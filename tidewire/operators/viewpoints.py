@@ -104,17 +104,15 @@ def base_score(words: list, title, body) -> Column:
 
 
 def weighted_hits(words: list, title, body, title_weight: float, body_weight: float) -> Column:
-    total = F.lit(0.0)
-    for w in words:
-        total = total + occurrences(title, w) * F.lit(title_weight) + occurrences(body, w) * F.lit(body_weight)
-    return total
+    per_word = F.transform(word_array(words), lambda w: occurrences(title, w) * F.lit(title_weight) + occurrences(body, w) * F.lit(body_weight))
+    return F.aggregate(per_word, F.lit(0.0), lambda s, x: s + x)
 
 
 def conditions(w: ViewpointWords, title: str = "T", body: str = "B", both: str = "X") -> dict:
     """Named boolean Columns over title, body and both joined without a space."""
     t, b, x = (lambda n: contains_any(title, w[n])), (lambda n: contains_any(body, w[n])), (lambda n: contains_any(both, w[n]))
     spaced = F.concat_ws(" ", title, body)
-    info = sum((occurrences(spaced, word) for word in w["information"]), F.lit(0)) >= 2
+    info = F.aggregate(F.transform(word_array(w["information"]), lambda word: occurrences(spaced, word)), F.lit(0), lambda s, n: s + n) >= 2
     denial = near(both, w["responsibility_anchor"], w["responsibility_denial"], 24)
     claim = near(both, w["responsibility_anchor"], w["responsibility_claim"], 24) & ~x("responsibility_fact")
     enforcement = x("government_strict") & x("enforcement")
@@ -169,20 +167,26 @@ def _step(mul=1.0, add=0.0, floor=float("-inf"), least=float("-inf")) -> Column:
     return F.struct(as_double(mul).alias("mul"), as_double(add).alias("add"), as_double(floor).alias("floor"), as_double(least).alias("least"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Keep computed columns from being computed again wherever they are used: the optimiser moves expressions
+    into their uses through a projection, but not through a generator."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def classify_viewpoints(articles: DataFrame, words: ViewpointWords, pack: TextPack = KOREAN) -> DataFrame:
     """article_id and its three best viewpoints as an array of (rank, category, score).
 
     Columns used: article_id, title, clean_text, sentiment, sentiment_score. One scan, no shuffle."""
-    ready = articles.select(
+    ready = _settled(articles.select(
         "article_id", rule_text("title", pack).alias("T"), rule_text("clean_text", pack).alias("B"), "sentiment",
         (F.least(F.coalesce("sentiment_score", F.lit(0.0)), F.lit(0.85)) * 2).alias("bias"),
-    ).withColumn("X", F.concat("T", "B"))
+    )).select("*", F.concat("T", "B").alias("X"))
     base = {key: base_score(words[key], "T", "B") for key in CATEGORIES}
     weak = words["weak_result"]
     context = contains_any("B", words["result_context"])
     base["result"] = base["result"] + weighted_hits(weak, "T", "B", 1.0, 0.2) + F.when(context, weighted_hits(weak, "T", "B", 1.5, 0.4)).otherwise(0.0)
     tests = {f"is_{name}": F.coalesce(test, F.lit(False)) for name, test in conditions(words).items()}
-    seen = ready.select("article_id", "bias", *[c.alias(f"base_{k}") for k, c in base.items()], *[c.alias(n) for n, c in tests.items()])
+    seen = _settled(ready.select("article_id", "bias", *[c.alias(f"base_{k}") for k, c in base.items()], *[c.alias(n) for n, c in tests.items()]))
     steps: dict = {key: [_step()] for key in CATEGORIES}
     for condition, key, operation, value in EFFECTS:
         on = F.col(f"is_{condition}")
@@ -201,7 +205,7 @@ def classify_viewpoints(articles: DataFrame, words: ViewpointWords, pack: TextPa
         F.struct((-F.greatest(_fold(F.col(f"base_{k}"), steps[k]), F.lit(0.0))).alias("minus"), F.lit(i).alias("place"), F.lit(name).alias("category"))
         for i, (k, name) in enumerate(CATEGORIES.items())
     ])
-    best = seen.select("article_id", F.slice(F.array_sort(scored), 1, 3).alias("best"))
+    best = _settled(seen.select("article_id", F.slice(F.array_sort(scored), 1, 3).alias("best")))
     entry = lambda rank, category, score: F.struct(
         F.lit(rank).alias("rank"), category.alias("category"), F.bround(score, 1).alias("score"))
     none = F.lit(ko.UNCLASSIFIED_VIEWPOINT)
