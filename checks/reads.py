@@ -14,6 +14,7 @@ from tidewire.operators import joins as jn
 from tidewire.operators import ranking as rk
 from tidewire.operators import reports as rp
 from tidewire.operators import tables as tb
+from tidewire.session import durable
 
 NOW = "2024-01-31 00:00:00"
 KW = "tion"
@@ -282,12 +283,12 @@ FILLS = "SELECT event_id, ts, CASE WHEN event_type = 'purchase' THEN value END A
 query("fill_last_price", f"SELECT event_id, last_value(price IGNORE NULLS) OVER (ORDER BY ts, event_id) AS price_filled FROM ({FILLS})")(
     lambda t: iv.fill_last(t.sql(FILLS), "price", "ts", "event_id").select("event_id", "price_filled"))
 query("latest_day_top_keywords", f"WITH m AS ({METRICS}) SELECT date, keyword, article_count FROM m WHERE date = (SELECT max(date) FROM m) ORDER BY article_count DESC, keyword LIMIT 5")(
-    lambda t: rk.top_k(rk.latest_rows(ag.daily_keyword_metrics(t.articles, pack=LATIN), "date"), [F.desc("article_count"), F.asc("keyword")], 5))
+    lambda t: rk.top_k(rk.latest_rows(durable(ag.daily_keyword_metrics(t.articles, pack=LATIN)), "date"), [F.desc("article_count"), F.asc("keyword")], 5))
 query("articles_page", f"SELECT article_id, published_at FROM articles WHERE {LIVE} ORDER BY published_at DESC, article_id LIMIT 20 OFFSET 40")(
     lambda t: rk.page(fl.enabled(t.articles).select("article_id", "published_at"), [F.desc("published_at"), F.asc("article_id")], 3, 20))
 query("articles_page_info", f"SELECT count(*) AS total, count(*) > 60 AS has_more FROM articles WHERE {LIVE}")(lambda t: rk.page_info(fl.enabled(t.articles), 3, 20))
 query("random_scope")(lambda t: rp.random_scope(t.articles, t.scopes, "2024-01-08 00:00:00"))
-query("random_keyword")(lambda t: rp.random_keyword(ag.daily_keyword_metrics(t.articles, pack=LATIN)))
+query("random_keyword")(lambda t: rp.random_keyword(durable(ag.daily_keyword_metrics(t.articles, pack=LATIN))))
 query("merged_logs", """WITH a AS (SELECT history_id AS id, occurred_at, status, NULL AS error_code FROM process_logs ORDER BY occurred_at DESC, id DESC LIMIT 100),
  b AS (SELECT e.history_id AS id, p.occurred_at, NULL AS status, e.error_code FROM error_logs e JOIN process_logs p USING (history_id) ORDER BY occurred_at DESC, id DESC LIMIT 100) SELECT * FROM a UNION ALL SELECT * FROM b""")(
     lambda t: rk.merge_logs(t.process_logs.select(F.col("history_id").alias("id"), "occurred_at", "status"),

@@ -13,6 +13,7 @@ from tidewire.operators import aggregates as ag
 from tidewire.operators.filters import any_word, boosted_or, enabled, kw_contains, phrase, phrase_prefix, since_days
 from tidewire.operators.joins import scope_search, viewpoint_select
 from tidewire.operators.ranking import mode_by, prefix_within, sample_one, top_per
+from tidewire.session import durable
 
 
 def _text(name: str) -> Column:
@@ -43,7 +44,8 @@ def keyword_detail(articles: DataFrame, scopes: DataFrame, keyword: str, newest:
     The split divides by all matching articles, so unlabelled ones fall to negative."""
     hits = enabled(articles).filter(kw_contains("keywords", keyword))
     counts = hits.agg(F.count("*").alias("total_count"), F.count_distinct("scope_id").alias("scope_count"), *ag.label_counts())
-    top = ag.first_ranked(hits.orderBy(*newest_first()).limit(newest))
+    # two readers share the few newest rows
+    top = durable(ag.first_ranked(hits).select("press", "category", "published_at", "article_id").orderBy(*newest_first()).limit(newest))
     votes = top.filter(~F.col("category").isin(*ko.UNCLASSIFIED)).groupBy("category").agg(F.count("*").alias("n"))
     flow = votes.agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))))
     press = top.agg(F.count_distinct("press"))

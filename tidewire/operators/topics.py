@@ -20,10 +20,12 @@ def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int = 1000, boost: f
     document; a title noun that is among the tokens gets ``boost`` on top. Terms are lower-case, the title comparison
     is not. All steps are aggregations and joins; the vocabulary is bounded by its parameter and broadcast.
     """
-    # cleaned before the explode, so that the tests below read a column and do not repeat the cleaning
-    cleaned = F.transform("tokens", lambda t: clean_token(t, pack))
+    # cleaned before the explode, so that the tests below read a column and do not repeat the cleaning;
+    # there is nothing to remove from a token of letters only
+    letters = f"^[{pack.script}a-zA-Z]+$"
+    cleaned = F.transform("tokens", lambda t: F.when(t.rlike(letters), t).otherwise(clean_token(t, pack)))
     raw = docs.select("doc_id", F.explode(cleaned).alias("token"), "title_nouns")
-    valid = raw.filter(F.col("token").isNotNull() & F.col("token").rlike(f"^[{pack.script}a-zA-Z]+$") & is_valid_keyword("token", pack))
+    valid = raw.filter(F.col("token").isNotNull() & F.col("token").rlike(letters) & is_valid_keyword("token", pack))
     if extra_stopwords is not None:
         valid = valid.join(extra_stopwords.select(F.col("word").alias("token")), "token", "left_anti").join(
             extra_stopwords.select(F.lower("word").alias("_low")), F.lower("token") == F.col("_low"), "left_anti")
