@@ -234,7 +234,8 @@ def near(text, anchors, words, window: int) -> Column:
         return F.lit(False)
     text = as_col(text)
     plain = [a for a in anchors if not _overlaps_itself(a)]
-    hit = text.rlike("(?s)" + "|".join(_near_patterns(plain, words, window))) if plain else F.lit(False)
+    patterns = _near_patterns(plain, words, window) if plain else []
+    hit = text.rlike("(?s)" + "|".join(patterns)) if patterns else F.lit(False)
     tricky = [a for a in anchors if _overlaps_itself(a)]
     return hit | _near_positions(text, tricky, words, window) if tricky else hit
 
