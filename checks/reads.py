@@ -162,7 +162,7 @@ query("rank1_counts_keyword", COUNTS.replace("WHERE", f"WHERE {KWALL} AND"))(lam
 query("articles_per_day", "SELECT CAST(published_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS cnt FROM articles GROUP BY 1")(lambda t: ag.per_day(t.articles, "published_at", 9))
 query("score_histogram", "SELECT round(floor(round(sentiment_score / 0.05, 9)) * 0.05, 2) AS bucket, count(*) AS cnt FROM articles WHERE sentiment_score IS NOT NULL GROUP BY 1")(
     lambda t: ag.histogram(t.articles, "sentiment_score"))
-query("confidence_stats", """SELECT coalesce(sentiment,'all') AS sentiment, count(*) AS cnt, round_even(avg(sentiment_score),4) AS avg_score, count(*) FILTER (sentiment_score >= 0.8) AS high,
+query("confidence_stats", """SELECT coalesce(sentiment,'all') AS sentiment, count(*) AS cnt, round_even(round(avg(sentiment_score),9),4) AS avg_score, count(*) FILTER (sentiment_score >= 0.8) AS high,
  count(*) FILTER (sentiment_score >= 0.55 AND sentiment_score < 0.8) AS mid, count(*) FILTER (sentiment_score < 0.55) AS low, round_even(count(*) FILTER (sentiment_score < 0.55) / count(*), 4) AS low_rate
  FROM articles WHERE sentiment IS NOT NULL AND sentiment_score IS NOT NULL GROUP BY ROLLUP (sentiment)""")(lambda t: ag.confidence_stats(t.articles))
 query("hot_articles", """WITH r AS (SELECT article_id, count(*) FILTER (reaction_type='like') AS like_count, count(*) FILTER (reaction_type='dislike') AS dislike_count, count(*) AS total FROM article_reactions GROUP BY 1
@@ -208,7 +208,7 @@ query("press_sentiment_percent", f"""WITH c AS (SELECT press, {LABELS} FROM arti
  SELECT press, positive, neutral, negative, {percents('(positive + neutral + negative)')},
  CASE WHEN positive >= neutral AND positive >= negative THEN 'positive' WHEN neutral >= negative THEN 'neutral' ELSE 'negative' END AS dominant FROM c""")(
     lambda t: ag.sentiment_percent(t.articles.groupBy("press").agg(*ag.label_counts())).withColumn("dominant", lb.dominant_label("positive", "neutral", "negative")))
-query("scope_sentiment", """SELECT scope_id, count(*) AS scored_count, CASE WHEN count(*) >= 3 THEN round_even(avg(sentiment_score),4) ELSE 0 END AS sentiment_score,
+query("scope_sentiment", """SELECT scope_id, count(*) AS scored_count, CASE WHEN count(*) >= 3 THEN round_even(round(avg(sentiment_score),9),4) ELSE 0 END AS sentiment_score,
  CASE WHEN count(*) >= 3 THEN round_even(count(*) FILTER (sentiment='positive')/count(*),4) END AS positive, CASE WHEN count(*) >= 3 THEN round_even(count(*) FILTER (sentiment='neutral')/count(*),4) END AS neutral,
  CASE WHEN count(*) >= 3 THEN round_even(count(*) FILTER (sentiment='negative')/count(*),4) END AS negative FROM articles WHERE scope_id IS NOT NULL AND sentiment IS NOT NULL GROUP BY 1""")(
     lambda t: ag.scope_sentiment(t.articles))

@@ -86,6 +86,11 @@ def histogram(df: DataFrame, column: str, width: float = 0.05) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("cnt"))
 
 
+def _settled_mean(mean: Column) -> Column:
+    """Four decimals, half to even, of a mean whose last bits depend on the order of summation."""
+    return F.bround(F.round(mean, 9), 4)
+
+
 def confidence_stats(articles: DataFrame, first=None, last=None, low: float = 0.55, high: float = 0.8) -> DataFrame:
     """Confidence figures over all and per label (D7); the row 'all' is the grand total of a rollup."""
     score = F.col("sentiment_score")
@@ -93,7 +98,7 @@ def confidence_stats(articles: DataFrame, first=None, last=None, low: float = 0.
     return (
         scored.rollup("sentiment")
         .agg(
-            F.count("*").alias("cnt"), F.bround(F.avg(score), 4).alias("avg_score"),
+            F.count("*").alias("cnt"), _settled_mean(F.avg(score)).alias("avg_score"),
             F.count_if(score >= high).alias("high"), F.count_if((score >= low) & (score < high)).alias("mid"),
             F.count_if(score < low).alias("low"),
         )
@@ -180,7 +185,7 @@ def scope_sentiment(articles: DataFrame, min_articles: int = 3) -> DataFrame:
     enough = F.col("cnt") >= min_articles
     return sums.select(
         "scope_id", F.col("cnt").alias("scored_count"),
-        F.when(enough, F.bround("mean", 4)).otherwise(0.0).alias("sentiment_score"),
+        F.when(enough, _settled_mean(F.col("mean"))).otherwise(0.0).alias("sentiment_score"),
         *[F.when(enough, F.bround(F.col(label) / F.col("cnt"), 4)).alias(label) for label in ko.SENTIMENT_NAMES],
     )
 
