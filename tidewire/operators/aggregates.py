@@ -16,6 +16,7 @@ from tidewire.operators.filters import enabled, on_days
 from tidewire.operators.intervals import pair_sessions
 from tidewire.operators.joins import enrich, reaction_sums
 from tidewire.operators.ranking import number_rows, top_per
+from tidewire.session import durable
 
 
 def day_of(ts: str, tz_offset_hours: int = 0) -> Column:
@@ -245,6 +246,7 @@ def confusion(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def class_report(counts: DataFrame, labels=("positive", "negative", "neutral")) -> DataFrame:
     """Precision, recall, F1 and support per label with macro and weighted means (D20), from the confusion counts."""
+    counts = durable(counts)  # one row per label pair, read once per label below
     n = F.sum("cnt")
     per = None
     for label in labels:
