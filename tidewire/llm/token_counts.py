@@ -37,13 +37,13 @@ class Pieces:
 
 def spliceable(path: str) -> bool:
     """Whether splicing is exact for the model: texts are taken as they are (no normaliser, only blanks are replaced and
-    one blank put in front), unknown characters fall back to bytes and no two pieces tie in score."""
+    one blank put in front) and unknown characters fall back to bytes. Merges go by score, then from the left, so what
+    happens between two neighbouring tokens does not depend on the rest of the text."""
     model = Pieces.at(path).model
     probe = "a  b 　ﬁ①\n é "
     pieces = model.encode(probe, out_type=str)
     taken = b"".join(bytes([int(p[3:5], 16)]) if model.is_byte(model.piece_to_id(p)) else p.encode() for p in pieces)
-    normal = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    return taken == (MARK + probe).replace(" ", MARK).encode() and len({model.get_score(i) for i in normal}) == len(normal)
+    return taken == (MARK + probe).replace(" ", MARK).encode()
 
 
 def _bytes_as_read(text: str) -> int:

@@ -70,20 +70,21 @@ def votes(rows: DataFrame) -> DataFrame:
 def fit_votes(patterns: dict[str, int], rounds: int = 200) -> dict:
     """Prior of good and each labeller's vote odds in both classes, by expectation-maximisation over counted patterns.
 
-    Starts from the majority of votes. Counts are smoothed by one, so an empty table gives the uniform model.
+    Starts from the majority of votes; abstentions say nothing. Counts are smoothed by one, so an empty table gives the uniform model.
     """
     keys = sorted(patterns)
     n_heads = len(keys[0]) if keys else 0
     seen = np.array([[int(c) for c in k] for k in keys], dtype=np.int64).reshape(len(keys), n_heads)
     n = np.array([patterns[k] for k in keys], dtype=float)
     good = np.array([0.9 if (row == 1).sum() > 2 * (row == 0).sum() else 0.1 for row in seen])
-    prior, odds = 0.5, np.full((2, n_heads, 3), 1 / 3)
+    prior, odds = 0.5, np.full((2, n_heads, 3), 0.5)
     for _ in range(rounds):
         prior = (1 + (n * good).sum()) / (2 + n.sum())
         for cls, weight in ((1, n * good), (0, n * (1 - good))):
-            for v in range(3):
+            for v in (0, 1):
                 odds[cls, :, v] = 1 + (weight[:, None] * (seen == v)).sum(axis=0)
-        odds /= odds.sum(axis=2, keepdims=True)
+        odds[:, :, :2] /= odds[:, :, :2].sum(axis=2, keepdims=True)
+        odds[:, :, 2] = 1.0  # a labeller that abstains says nothing
         log = [np.log(p) + np.log(odds[c][np.arange(n_heads), seen]).sum(axis=1) if len(keys) else np.zeros(0) for c, p in ((0, 1 - prior), (1, prior))]
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         if len(new) == 0 or np.abs(new - good).max() < 1e-9:
