@@ -34,6 +34,14 @@ def op1_token_counts(spark, folder):
     return counted.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+@query
+def op2_suffix_dedup(spark, folder):
+    from tidewire.llm.suffix_dedup import remove_strings
+
+    left = remove_strings(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_quality_rules(spark, folder):
     from tidewire.llm.quality_rules import quality_rules
@@ -42,6 +50,15 @@ def op4_quality_rules(spark, folder):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op6_substring_dedup(spark, folder):
+    from tidewire.llm.substring_dedup import remove_passages
+
+    left = remove_passages(table(spark, folder, "documents"))
+    words = F.array_remove(F.split("kept", r"[\x20\x09-\x0D]+"), "")
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
 @query
 def op7_url_rules(spark, folder):
     """Labels carry document ids; a page is labelled by the row of its own id and counts as bad when of low quality or toxic."""
@@ -60,6 +77,16 @@ def op8_weak_labels(spark, folder):
     return quality_scores(table(spark, folder, "documents"))
 
 
+@query
+def op9_decontamination(spark, folder):
+    from tidewire.llm.decontamination import find_matches, hits
+
+    found = hits(find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    n_items = F.size("items").cast("bigint")
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query
 def op10_interleaved_shards(spark, folder):
     from tidewire.llm.sharding import interleave
