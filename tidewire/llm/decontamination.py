@@ -176,15 +176,17 @@ def _search(items: Broadcast, window: int):
                     [
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                         pa.array(np.diff(bounds), pa.int64()), pa.array([x + y for x, y in zip(old, found, strict=True)], batch.schema.field(3).type),
+                        *[batch.column(k).slice(a, b - a) for k in range(4, batch.num_columns)],
                     ],
-                    names=["doc_id", "text", "n_words", "matches"],
+                    names=batch.schema.names,
                 )
 
     return run
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
-    """One row per input row: ``doc_id, n_words, matches``; a match has ``item_id, at, words, window``.
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, n_words, matches`` and, as struct ``rest``, the columns of ``carry``; a match has
+    ``item_id, at, words, window``.
 
     A match is a place where a window of an item begins (``window`` words, or the whole of a shorter item), with the
     length of the longest verbatim match from there. Each task sorts the suffixes of its shards and looks up every
@@ -197,8 +199,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (PART_BYTES // 2)))
     kind = "array<struct<item_id: bigint, at: bigint, words: bigint, window: bigint>>"
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("bigint").alias("n_words"), F.expr(f"CAST(array() AS {kind})").alias("matches"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("bigint").alias("n_words"), F.expr(f"CAST(array() AS {kind})").alias("matches"), *([F.struct(*carry).alias("rest")] if carry else []))
     schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, text string, n_words bigint, matches {kind}"
+    if carry:
+        schema += f", rest {rows.schema['rest'].dataType.simpleString()}"
     for part in range(parts):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
         held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in some.collect()])  # PART_BYTES at most

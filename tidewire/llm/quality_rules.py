@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.columns import settled
 from tidewire.session import durable
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -43,16 +44,19 @@ def _letter(position: int) -> str:
     return chr(ord("0") + position) if position < 10 else chr(ord("A") + position - 10)
 
 
-def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts and histograms per row: ``doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, commons``.
+def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """Counts and histograms per row: ``doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, commons``
+    and, as struct ``rest``, the columns of ``carry``.
 
     ``chars`` holds the code points by character class, ``commons`` the words equal to each common word and, last, the
     other words. A null text counts as empty (all zero). Rows with equal ids stay rows of their own; other columns of
     the input, whatever their names, are not read.
     """
+    rest = [F.struct(*carry).alias("rest")] if carry else []
     rows = docs.select(
-        F.col(id_column).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col(id_column).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"), *rest
     )
+    also = ["rest"] if carry else []
     rows = rows.withColumn("words", F.array_remove(F.split("text", SPACE + "+"), ""))
     names = list(CLASSES)
     left = "text"
@@ -64,6 +68,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
     before = ["text", *[f"no_{name}" for name in names]]
     sizes = [F.char_length(a) - F.char_length(b) for a, b in zip(before, before[1:], strict=False)] + [F.char_length(before[-1])]
     rows = rows.select(
+        *also,
         "doc_id",
         "lang",
         "words",
@@ -86,6 +91,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang
     covered = f"aggregate({starts}, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last)).n"
     counts = [F.char_length("codes") - F.char_length(F.replace("codes", F.lit(_letter(k)))) for k in range(len(BINS))]
     return rows.select(
+        *also,
         "doc_id",
         "lang",
         "n_words",
@@ -141,14 +147,22 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     are the sums over all documents; an empty table gives an empty result.
     """
     measured = durable(measure(docs, id_column, text, lang))
-    refs = references(measured)
+    return judged(measured, references(measured)).drop("chars", "commons")
+
+
+def judged(measured: DataFrame, refs: list[dict]) -> DataFrame:
+    """The measured rows with both distances, ``base_failed`` and ``kept``."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     chars_ok = (F.col("word_chars") < CHAR_GUARD) | F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True))
     words_ok = (F.col("n_words") < WORD_GUARD) | F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
-    return (
-        measured.withColumn("char_distance", _own_distance("chars", refs))
-        .withColumn("word_distance", _own_distance("commons", refs))
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & chars_ok & words_ok)
-        .drop("chars", "commons")
-    )
+    distances = {"char_distance": _own_distance("chars", refs), "word_distance": _own_distance("commons", refs)}
+    return measured.withColumns(distances).withColumn("base_failed", failed).withColumn("kept", ~failed & chars_ok & words_ok)
+
+
+def drop_rejected(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that :func:`quality_rules` keeps, with all their columns.
+
+    The histograms are taken twice, for the references and for the verdicts, so that no text is shuffled or stored.
+    """
+    refs = references(measure(docs, id_column, text, lang))
+    return judged(settled(measure(docs, id_column, text, lang, docs.columns)), refs).filter("kept").select("rest.*")

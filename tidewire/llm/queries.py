@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PIECES = "piece_bpe_32k.model"
+BYTE_PIECES = "byte_bpe_50k.json"
 MAX_TOKENS = 4096
 GIVEN_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 N_SHARDS = 16
@@ -42,6 +43,15 @@ def op2_suffix_dedup(spark, folder):
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op3_bpe(spark, folder):
+    from tidewire.llm.bpe import encode
+
+    coded = encode(table(spark, folder, "documents"), public_tokenizers.path(BYTE_PIECES))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return coded.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op4_quality_rules(spark, folder):
     from tidewire.llm.quality_rules import quality_rules
@@ -50,6 +60,13 @@ def op4_quality_rules(spark, folder):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op5_jaccard_join(spark, folder):
+    from tidewire.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op6_substring_dedup(spark, folder):
     from tidewire.llm.substring_dedup import remove_passages
