@@ -1,0 +1,155 @@
+"""The deduplicating operators against plain code, on copies, edits, shared passages, nulls, ties and odd columns."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.llm.components import components
+from tidewire.llm.jaccard_join import drop_near_duplicates, near_duplicates
+from tidewire.llm.substring_dedup import remove_passages
+from tidewire.llm.suffix_dedup import Suffixes, merge_sorted, ranks, remove_strings
+
+SCHEMA = "doc_id long, text string"
+
+
+def sample() -> list:
+    rnd = random.Random(11)
+    words = ["w%d" % rnd.randrange(400) for _ in range(420)]
+    rows = [(k, " ".join("x%d" % rnd.randrange(3000) for _ in range(rnd.randrange(5, 160)))) for k in range(60)]
+    rows += [(900, None), (901, ""), (902, "  \n"), (None, " ".join(words[:120])), (None, " ".join(words[:120])), (903, "One two"), (904, "one  TWO"), (905, "a " * 400), (906, "a " * 90), (7, "a " * 70)]
+    rows += [(950, " ".join(words)), (950, " ".join(words)), (940, "é " * 60 + " ".join(words[60:130]))]
+    current = words[:]
+    for k in range(70):
+        new = (current if k % 3 else words)[:]
+        for _ in range(rnd.randrange(1, 12)):
+            new[rnd.randrange(len(new))] = "e%d" % rnd.randrange(40)
+        if k % 5 == 0:
+            current = new
+        rows.append((1000 + rnd.randrange(65), " ".join(new[rnd.randrange(40) :])))
+    passage = " ".join(words[200:262])
+    rows += [(2000 + k, f"{passage}\n" + " ".join("u%d" % rnd.randrange(10**6) for _ in range(rnd.randrange(4, 50)))) for k in range(40)]
+    rnd.shuffle(rows)
+    return rows
+
+
+def covered(rows, parts, length):
+    first = {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        units = parts(text)
+        for s in range(len(units) - length + 1):
+            first.setdefault(tuple(units[s : s + length]), i)
+    for i, text in rows:
+        units = parts(text)
+        gone = [False] * len(units)
+        for s in range(len(units) - length + 1):
+            least = first[tuple(units[s : s + length])]
+            if least is not None and (i is None or least < i):
+                gone[s : s + length] = [True] * length
+        yield i, units, gone
+
+
+def digest(value: bytes) -> str:
+    return hashlib.sha256(value).hexdigest()
+
+
+@pytest.mark.parametrize("most", [4 << 20, 3000])
+def test_passages(spark, most):
+    rows = sample()
+    want = sorted([(i, len(w), sum(g), digest(b" ".join(x for x, y in zip(w, g, strict=True) if not y))) for i, w, g in covered(rows, lambda t: (t or "").encode().split(), 50)], key=str)
+    # other columns with clashing names are not read
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit(1)).withColumn("block", F.lit("x")).withColumn("rest", F.lit(None))
+    got = sorted([(r.doc_id, r.n_words, r.n_removed, digest(b" ".join(r.kept.encode().split()))) for r in remove_passages(docs, most=most).collect()], key=str)
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [4 << 20, 3000])
+def test_strings(spark, most):
+    rows = sample()
+    want = sorted([(i, len(w), sum(g), sum(g[k] and not (k and g[k - 1]) for k in range(len(g))), digest(bytes(x for x, y in zip(w, g, strict=True) if not y))) for i, w, g in covered(rows, lambda t: (t or "").encode(), 50)], key=str)
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, digest(bytes(r.kept))) for r in remove_strings(spark.createDataFrame(rows, SCHEMA), most=most).collect()], key=str)
+    assert got == want
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) > 4 else frozenset([tuple(words)] if words else [])
+
+
+def grouped(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    having = defaultdict(list)
+    for k, own in enumerate(sets):
+        common = defaultdict(int)
+        for token in own:
+            for j in having[token]:
+                common[j] += 1
+            having[token].append(k)
+        for j, c in common.items():
+            if 100 * c >= 80 * (len(own) + len(sets[j]) - c):
+                parent[find(k)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(sets[k]), least.get(find(k)) if sets[k] else i, find(k) if sets[k] else ("alone", k)) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("most", [4 << 20, 5000])
+def test_near_duplicates(spark, most):
+    rows = sample()
+    want = grouped(rows)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit(5)).withColumn("component", F.lit("c"))
+    got = near_duplicates(docs, most=most).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([w[:3] for w in want], key=str)
+    kept = drop_near_duplicates(docs, most=most, carry=["key"]).collect()
+    assert len(kept) == len({w[3] for w in want})
+    ids = sorted(str(r.doc_id) for r in kept if shingles(r.text))
+    assert ids == sorted(str(least) for least, _ in {(w[2], w[3]) for w in want if w[1]})
+    assert {r.rest.key for r in kept} == {5}
+
+
+def test_one_chain_of_links_is_one_group(spark):
+    words = ["c%d" % k for k in range(300)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 200])) for k in range(12)]  # neighbours link, the ends do not
+    assert {r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
+    assert {w[2] for w in grouped(rows)} == {0}
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert near_duplicates(empty).collect() == []
+    assert remove_passages(empty).collect() == []
+    assert remove_strings(empty).collect() == []
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (7, 7), (None, 3), (200, 150)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100, 150: 150, 200: 150}
+
+
+def test_suffix_sort(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    texts = rnd.integers(97, 99, (400, 20)).astype(np.uint8)
+    texts[100:200] = texts[:100]
+    group = rnd.integers(0, 3, 400)
+    order = merge_sorted(Suffixes(texts), group)
+    keys = [(int(group[i]), texts[i].tobytes(), i) for i in order]
+    assert keys == sorted(keys)
+    order, common = ranks(texts, group)
+    for k in range(1, 400):
+        a, b = texts[order[k - 1]].tobytes(), texts[order[k]].tobytes()
+        same = next((j for j in range(20) if a[j] != b[j]), 20)
+        assert common[k] == (same if group[order[k - 1]] == group[order[k]] else -1)
