@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can say them, the same in DuckDB SQL."""
+"""The queries of this subpackage; ``ORACLES`` has the same in DuckDB SQL for those that SQL can say."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.llm.oracles import ORACLES  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
 
 PIECES = "piece_bpe_32k.model"
 BYTE_PIECES = "byte_bpe_50k.json"
