@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewire.operators import aggregates as ag
 from tidewire.operators import intervals as iv
 from tidewire.operators import ranking as rk
+from tidewire.operators import graph
 from tidewire.operators import similarity as sm
 from tidewire.operators import summaries as su
 from tidewire.operators import tables as tb
@@ -126,8 +127,27 @@ def test_near_copies_equal_a_sequential_pass(spark):
     # with no budget for pairs, only the rounds decide
     signed = sm.text_signatures(df.filter(F.col("id") < len(TEXTS)))
     keys = signed.select("id", F.col("id").cast("string").alias("key"))
-    got = sorted(r["id"] for r in sm.first_come(signed, keys, signed, 0.9, pairs_per_row=0).collect())
-    assert got == greedy(TEXTS, 0.9)
+    for options in ({}, {"head_rounds": 0}, {"head_rounds": 1, "component_rows": 1}):
+        got = sorted(r["id"] for r in sm.first_come(signed, keys, signed, 0.9, **options).collect())
+        assert got == greedy(TEXTS, 0.9)
+
+
+def test_first_come_on_a_long_chain(spark, monkeypatch):
+    """Every row conflicts with the next; the number of checkpoints grows with the logarithm of the chain."""
+    made = []
+    plain = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: made.append(1) or plain(df))
+    rows = spark.range(2000).select("id", F.col("id").alias("seq"))
+    keys = rows.select("id", F.explode(F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string"))).alias("key"))
+    assert sorted(r["id"] for r in sm.first_come(rows, keys).collect()) == list(range(0, 2000, 2))
+    assert len(made) < 20
+
+
+def test_first_come_on_one_hot_key(spark):
+    rows = spark.range(2000).select("id", F.col("id").alias("seq"))
+    keys = rows.select("id", F.lit("all").alias("key"))
+    assert [r["id"] for r in sm.first_come(rows, keys).collect()] == [0]
+    assert [r["id"] for r in sm.first_come(rows, keys, component_rows=10).collect()] == [0]
 
 
 def test_ingest_reasons(spark):
