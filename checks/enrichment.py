@@ -55,7 +55,7 @@ query("bulk_corrections_patched", f"SELECT a.article_id, coalesce(l.s, a.sentime
     lambda t: tb.apply_corrections(t.articles, t.sql(BULK))[1].select("article_id", "sentiment"))
 query("bulk_correction_outcomes", f"SELECT CASE WHEN a.article_id IS NULL THEN 'missing' WHEN a.sentiment IS NOT DISTINCT FROM l.s THEN 'same' ELSE 'changed' END AS outcome, count(*) AS cnt FROM ({LAST}) l LEFT JOIN articles a USING (article_id) GROUP BY 1")(
     lambda t: tb.apply_corrections(t.articles, t.sql(BULK))[2])
-query("label_export", "SELECT article_id, title, substr(content,1,300) AS content, sentiment, sentiment_score, published_at FROM articles WHERE sentiment = 'neutral' AND article_id NOT IN (SELECT article_id FROM corrections WHERE used_in_finetune = 1)")(
+query("label_export", "SELECT article_id, title, content, sentiment, sentiment_score, published_at FROM articles WHERE sentiment = 'neutral' AND article_id NOT IN (SELECT article_id FROM corrections WHERE used_in_finetune = 1)")(
     lambda t: tb.export_labels(t.articles, t.corrections, "neutral"))
 
 # --- similarity ----------------------------------------------------------------------------------
@@ -146,8 +146,8 @@ query("sentiment_scores", f"""WITH l AS ({LEX}), pr AS ({PROB}), b AS (SELECT d.
  SELECT doc_id, CASE WHEN positive IS NULL OR abs(p - n) < 0.1 THEN 'neutral' WHEN p > n THEN 'positive' ELSE 'negative' END AS sentiment, round(CASE WHEN positive IS NULL THEN 0 WHEN abs(p - n) < 0.1 THEN 1 - abs(p - n) ELSE greatest(p, n) END, 5) AS sentiment_score FROM q""")(
     lambda t: md.score_sentiment(t.articles, t.sql(PROB), t.sql(LEX), None).withColumn("sentiment_score", F.round("sentiment_score", 5)))
 query("embeddings_of_texts")(lambda t: md.embed(t.articles.withColumn("clean_text", F.col("content")), None, 64).select("article_id", "has_embedding", F.size("embedding").alias("dimension")))
-query("finetune_set", """SELECT c.article_id, a.title || ' ' || substr(a.content, 1, 200) AS text, CASE corrected_sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS label, 'correction' AS origin FROM corrections c JOIN articles a USING (article_id) WHERE used_in_finetune = 0
- UNION ALL SELECT article_id, title || ' ' || substr(content, 1, 200), CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END, 'model' FROM (SELECT * FROM articles WHERE sentiment IS NOT NULL AND sentiment_score >= 0.8 QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY sentiment_score DESC, article_id) <= 100)""")(
+query("finetune_set", """SELECT c.article_id, a.title || ' ' || a.content AS text, CASE corrected_sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS label, 'correction' AS origin FROM corrections c JOIN articles a USING (article_id) WHERE used_in_finetune = 0
+ UNION ALL SELECT article_id, title || ' ' || content, CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END, 'model' FROM (SELECT * FROM articles WHERE sentiment IS NOT NULL AND sentiment_score >= 0.8 QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY sentiment_score DESC, article_id) <= 100)""")(
     lambda t: md.finetune_set(t.corrections, t.articles))
 
 

@@ -125,8 +125,8 @@ query("lexicon_hits", f"""WITH l AS ({LEX}) SELECT a.article_id, l.keyword, l.se
 query("related_articles", f"""WITH b AS (SELECT article_id, scope_id, coalesce(sentiment,'neutral') AS s, published_at, {LIVE} AS live FROM articles WHERE scope_id IS NOT NULL),
  p AS (SELECT x.article_id, y.article_id AS o, y.s AS os, x.s AS xs, row_number() OVER (PARTITION BY x.article_id ORDER BY y.published_at DESC, y.article_id) AS rn
    FROM b x JOIN b y ON x.scope_id = y.scope_id AND x.article_id <> y.article_id AND y.live)
- SELECT b.article_id, (SELECT min_by(o, rn) FROM p WHERE p.article_id = b.article_id AND rn <= 20 AND os = xs) AS same_id,
-   (SELECT min_by(o, rn) FROM p WHERE p.article_id = b.article_id AND rn <= 20 AND os <> xs) AS different_id FROM b
+ SELECT b.article_id, (SELECT min_by(o, rn) FROM p WHERE p.article_id = b.article_id AND os = xs) AS same_id,
+   (SELECT min_by(o, rn) FROM p WHERE p.article_id = b.article_id AND os <> xs) AS different_id FROM b
    WHERE b.scope_id IN (SELECT scope_id FROM b WHERE live)""")(
     lambda t: jn.related(t.articles))
 COUNTS = f"SELECT p.category, count(*) AS cnt FROM perspectives p JOIN articles a USING (article_id) WHERE rnk = 1 AND category <> '미분류' AND {LIVE} GROUP BY 1"
@@ -300,7 +300,7 @@ query("balanced_sample", "SELECT sentiment, article_id FROM articles WHERE senti
 # --- reports -------------------------------------------------------------------------------------
 
 HITS = f"SELECT * FROM articles WHERE {LIVE} AND {KEY_HIT}"
-query("keyword_detail", f"""WITH h AS ({HITS}), c AS (SELECT count(*) AS total_count, count(DISTINCT scope_id) AS scope_count, {LABELS} FROM h), n AS (SELECT * FROM h ORDER BY published_at DESC, article_id LIMIT 50)
+query("keyword_detail", f"""WITH h AS ({HITS}), c AS (SELECT count(*) AS total_count, count(DISTINCT scope_id) AS scope_count, {LABELS} FROM h), n AS (SELECT * FROM h)
  SELECT '{KW}' AS keyword, total_count, scope_count, {percents('total_count')}, (SELECT count(DISTINCT press) FROM n) AS press_count,
  (SELECT category FROM n JOIN perspectives p USING (article_id) WHERE rnk = 1 AND category <> '미분류' GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 1) AS flow,
  (SELECT count(*) FROM scopes WHERE contains(lower(scope_keywords), '{KW}')) AS issue_count FROM c""")(lambda t: rp.keyword_detail(t.articles_p, t.scopes, KW))
@@ -318,14 +318,14 @@ query("viewpoint_detail", f"""WITH r AS (SELECT a.*, p.category FROM articles a
     lambda t: rp.viewpoint_detail(t.articles_p, t.viewpoint_master))
 query("viewpoint_newest", f"SELECT a.article_id FROM articles a JOIN perspectives p USING (article_id) WHERE rnk = 1 AND category = 'C04' AND {LIVE} ORDER BY published_at DESC, a.article_id LIMIT 5")(
     lambda t: rp.viewpoint_newest(t.articles_p, "C04").select("article_id"))
-TOP100 = f"SELECT * FROM articles WHERE scope_id IS NOT NULL AND {LIVE} QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY published_at DESC, article_id) <= 100"
-query("scope_detail", f"""WITH t AS ({TOP100}), c AS (SELECT scope_id, count(*) AS article_count, count(*) FILTER (sentiment='positive') AS positive, count(*) FILTER (coalesce(sentiment,'neutral')='neutral') AS neutral, count(*) FILTER (sentiment='negative') AS negative FROM t GROUP BY 1)
+HELD = f"SELECT * FROM articles WHERE scope_id IS NOT NULL AND {LIVE}"
+query("scope_detail", f"""WITH t AS ({HELD}), c AS (SELECT scope_id, count(*) AS article_count, count(*) FILTER (sentiment='positive') AS positive, count(*) FILTER (coalesce(sentiment,'neutral')='neutral') AS neutral, count(*) FILTER (sentiment='negative') AS negative FROM t GROUP BY 1)
  SELECT s.scope_id, s.scope_title, array_to_string(list_filter(string_split(s.scope_keywords, ','), lambda k: k <> '')[1:5], ',') AS first_keywords, coalesce(article_count,0) AS article_count, {percents('article_count')}, strftime(s.updated_at, '%H:%M') AS updated_clock FROM scopes s LEFT JOIN c USING (scope_id)""")(
     lambda t: rp.scope_detail(t.articles, t.scopes))
-query("scope_viewpoints", f"""WITH t AS ({TOP100}), n AS (SELECT scope_id, count(*) AS a FROM t GROUP BY 1), c AS (SELECT scope_id, category, count(*) AS cnt FROM t JOIN perspectives p USING (article_id) WHERE category <> '미분류' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY count(*) DESC, category) <= 4)
+query("scope_viewpoints", f"""WITH t AS ({HELD}), n AS (SELECT scope_id, count(*) AS a FROM t GROUP BY 1), c AS (SELECT scope_id, category, count(*) AS cnt FROM t JOIN perspectives p USING (article_id) WHERE category <> '미분류' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY count(*) DESC, category) <= 4)
  SELECT scope_id, category, cnt, {PCT.format('cnt', 'a')} AS percent FROM c JOIN n USING (scope_id)""")(lambda t: rp.scope_viewpoints(t.articles_p))
 TOPIC_HIT = " OR ".join(f"contains({norm(c)}, ' {TOPIC} ')" for c in ("title", "summary", "keywords", "content"))
-query("issue_chips", f"""WITH f AS (SELECT scope_id FROM articles WHERE {LIVE} AND scope_id IS NOT NULL AND ({TOPIC_HIT}) ORDER BY published_at DESC, article_id LIMIT 30),
+query("issue_chips", f"""WITH f AS (SELECT scope_id FROM articles WHERE {LIVE} AND scope_id IS NOT NULL AND ({TOPIC_HIT})),
  k AS (SELECT keyword, count(*) AS cnt FROM (SELECT unnest(string_split(scope_keywords, ',')) AS keyword FROM scopes WHERE scope_id IN (SELECT scope_id FROM f)) WHERE keyword <> '' AND keyword <> '{TOPIC}' AND keyword NOT IN ('co', 'kr') GROUP BY 1),
  r AS (SELECT *, sum(length(keyword)) OVER (ORDER BY cnt DESC, keyword) AS used_length, row_number() OVER (ORDER BY cnt DESC, keyword) AS rn FROM k) SELECT keyword, cnt, used_length::BIGINT AS used_length FROM r WHERE rn <= 5 AND used_length <= 32""")(
     lambda t: rp.issue_chips(t.articles, t.scopes, TOPIC))

@@ -121,7 +121,7 @@ query("gap_labels", """SELECT event_id, CASE WHEN abs(p - n) < 0.1 THEN 'neutral
 TOK = "[A-Za-zß-ÿ]+"
 query("tfidf_keywords", f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOK}')) AS w, regexp_extract_all(split_part(text, chr(10), 1), '{TOK}') AS tn FROM documents),
  v AS (SELECT doc_id, lower(w) AS term, list_contains(tn, w) AND w = lower(w) AS it FROM r WHERE NOT contains(w, '÷') AND {VALID_KW}), tf AS (SELECT doc_id, term, count(*) AS tf, bool_or(it) AS it FROM v GROUP BY 1, 2),
- st AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1000), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
+ st AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
  w AS (SELECT doc_id, term, it, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN st USING (term), n),
  s AS (SELECT doc_id, term AS keyword, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) + CASE WHEN it THEN 0.3 ELSE 0 END AS score FROM w),
  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, keyword) AS rank FROM s) SELECT doc_id, keyword, round(score, 5) AS score FROM k WHERE rank <= 5""")(
@@ -130,7 +130,7 @@ query("tfidf_keywords", f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(
     .select("doc_id", "keyword", F.round("score", 5).alias("score")))
 NOUN_STOP = quoted(LATIN.noun_stopwords)
 query("scope_titles", f"""WITH r AS (SELECT scope_id, article_id, title, row_number() OVER (PARTITION BY scope_id ORDER BY published_at DESC, article_id) AS pos FROM articles WHERE scope_id IS NOT NULL AND title <> ''),
- t AS (SELECT scope_id, article_id, pos, {stripped(folded('title', LATIN.scope_title_patterns))} AS title FROM r WHERE pos <= 20), u AS (SELECT * FROM t WHERE title <> ''),
+ t AS (SELECT scope_id, article_id, pos, {stripped(folded('title', LATIN.scope_title_patterns))} AS title FROM r), u AS (SELECT * FROM t WHERE title <> ''),
  n AS (SELECT scope_id, count(*) AS n FROM u GROUP BY 1), w AS (SELECT scope_id, article_id, unnest(string_split_regex(title, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}_]+')) AS word FROM u),
  f AS (SELECT scope_id, word, count(*) AS tf, count(DISTINCT article_id) AS df FROM w WHERE length(word) >= 2 AND word NOT IN ({NOUN_STOP}) GROUP BY 1, 2),
  b AS (SELECT scope_id, word, row_number() OVER (PARTITION BY scope_id ORDER BY round(tf * (ln((n + 1) / (df + 1)) + 1), 9) DESC, word) AS rank FROM f JOIN n USING (scope_id)),

@@ -26,3 +26,34 @@ def test_daily_chain(spark):
     assert sum(r["news_count"] for r in made) == len(articles) and all(r["scope_title"] for r in made)
     assert update_scopes(scopes, day.scopes).count() == len(made)
     assert day.keyword_metrics.count() > 0 and day.top_issue.count() >= 1
+
+
+def test_second_run_sees_the_stored_articles(spark):
+    """A scope with older articles keeps what they say, and a day that is run twice counts both runs."""
+    at = dt.datetime(2024, 1, 2, 9)
+    body = "한국은행이 기준금리를 인상했다고 밝히며 시장에 충격을 주었다. 물가 상승률이 전년 대비 증가했다고 통계청이 발표했다."
+    fields = "seq int, raw_id string, article_id string, url string, press string, title string, raw_text string, published_at timestamp, collected_at timestamp"
+
+    def raw(numbers):
+        return spark.createDataFrame([(i, f"R{i}", f"A{i}", f"u{i}", f"언론{i}", f"금리 인상 소식 {i}", f"{body} 추가 문장 번호 {chr(0xAC00 + 40 * i) * 6} 입니다.", at, at + dt.timedelta(minutes=i)) for i in numbers], fields)
+
+    def encoder(frames):
+        for pdf in frames:
+            yield pdf.assign(embedding=[[1.0, 0.0]] * len(pdf))[["article_id", "embedding"]]
+
+    corpus = spark.createDataFrame([], "article_id string, url string, title string, press string")
+    empty = spark.createDataFrame([], "scope_id string, centroid array<double>, news_count bigint, scope_title string, scope_keywords string")
+    likely = spark.createDataFrame([(f"A{i}", 0.95, 0.05) for i in range(1, 9)], "doc_id string, positive double, negative double")
+    lexicon = spark.createDataFrame([("없음", "negative", 1.0)], "keyword string, sentiment string, weight double")
+    words = ViewpointWords({"worry": ["충격"]})
+    one = run_day(raw(range(1, 7)), corpus, empty, likely, lexicon, words, "20240102", encoder=encoder, dimension=2)
+    scopes = update_scopes(empty, one.scopes)
+    first = one.scopes.first()
+    two = run_day(raw([7]), one.articles.select("article_id", "url", "title", "press"), scopes, likely, lexicon, words, "20240102", encoder=encoder, dimension=2, stored=one.articles)
+    second = two.scopes.first()
+    assert two.articles.count() == 1 and second["scope_id"] == first["scope_id"] and second["news_count"] == 7
+    assert first["sentiment_score"] and abs(second["sentiment_score"] - first["sentiment_score"]) < 1e-6
+    assert set(first["scope_keywords"].split(",")) & set(second["scope_keywords"].split(","))
+    before = {r["keyword"]: r["article_count"] for r in one.keyword_metrics.collect()}
+    after = {r["keyword"]: r["article_count"] for r in two.keyword_metrics.collect()}
+    assert all(after[k] >= n for k, n in before.items()) and sum(after.values()) > sum(before.values())

@@ -235,3 +235,39 @@ def test_upsert_and_patch_are_idempotent(spark):
     assert sorted(map(tuple, tb.upsert(once, new, ["k"], "seq").collect())) == sorted(map(tuple, once.collect()))
     patched = tb.patch(old, once, ["k"], ["v"])
     assert sorted(map(tuple, tb.patch(patched, once, ["k"], ["v"]).collect())) == [(1, "a"), (2, "y")]
+
+
+def test_term_weights_of_the_binary_model(spark):
+    from tidewire.operators.models import fit_terms
+
+    texts = ["rate rate rate rise", "rate falls today", "rise today rise", "other words here", "other rate"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "article_id int, text string")
+    model = fit_terms(rows, min_df=2, max_df=0.99)
+    terms = model.counts.stages[-1].vocabulary
+    bags = [[w for w in t.split()] for t in texts]
+    bags = [b + [f"{x} {y}" for x, y in zip(b, b[1:])] for b in bags]
+    for row in model.features(rows).collect():
+        bag = bags[row["article_id"]]
+        want = {}
+        for t in set(bag) & set(terms):
+            want[t] = (1 + math.log(bag.count(t))) * (math.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1)
+        size = math.sqrt(sum(v * v for v in want.values())) or 1.0
+        got = {terms[i]: v for i, v in zip(row["features"].indices, row["features"].values)}
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t] / size) < 1e-9 for t in want)
+
+
+def test_patch_with_two_rows_of_a_key(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "k int, v string")
+    assert sorted(tuple(r) for r in tb.patch(target, rows, ["k"], ["v"]).collect()) == [(1, "y"), (2, "b")]
+
+
+def test_lexicon_of_fifty_thousand_words(spark):
+    from tidewire.operators.joins import lexicon_hits
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choices("abcdefg", k=rng.randint(1, 8))) for _ in range(60000)})[:50000]
+    texts = [(i, " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(40))) for i in range(20)] + [(98, ""), (99, None)]
+    lexicon = spark.createDataFrame([(w, "positive", 1.0) for w in words], "keyword string, sentiment string, weight double")
+    got = {(r["doc_id"], r["keyword"]): r["hits"] for r in lexicon_hits(spark.createDataFrame(texts, "doc_id int, text string"), lexicon).collect()}
+    assert got == {(i, w): t.count(w) for i, t in texts if t for w in words if w in t}

@@ -95,48 +95,44 @@ def latest_correction(log: DataFrame) -> DataFrame:
 
 
 def lexicon_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Every lexicon word that occurs in a text, with its non-overlapping count (C14).
+    """Every lexicon word that occurs in a text, with its non-overlapping count (C14). ``key`` names a text.
 
-    The lexicon is small by nature: after its size is checked it travels as one array and each text is scanned
-    where it lies. A lexicon too large for that is matched through an equality join on its first word.
+    A word stands in an index under the one of its two-character grams that fewest words have (a one-character word
+    under itself). Texts meet the index through their distinct grams, and only words found there are looked for in the
+    text itself, so lexicons and corpora of any size take the same plan.
     """
-    words = lexicon.filter(F.coalesce("keyword", F.lit("")) != "")
-    bound = 20_000
-    if words.limit(bound + 1).count() <= bound:
-        packed = words.agg(F.array_sort(F.collect_list(F.struct("keyword", "sentiment", "weight"))).alias("_words"))
-        hit = F.filter("_words", lambda w: F.contains(F.col(text), w["keyword"]))
-        found = docs.select(key, text, packed.scalar().alias("_words")).select(key, text, F.explode(hit).alias("w"))
-    else:
-        # any substring of length L of a text is a match candidate for the words of that length
-        lengths = words.select(F.length("keyword").alias("_n")).distinct()
-        sizes = lengths.agg(F.array_sort(F.collect_list("_n")).alias("_sizes"))
-        grams = F.array_distinct(F.flatten(F.transform(
-            "_sizes",
-            lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))).otherwise(
-                F.array().cast("array<string>")),
-        )))
-        pieces = docs.select(key, text, sizes.scalar().alias("_sizes")).select(key, text, F.explode(grams).alias("keyword"))
-        found = pieces.join(words.select("keyword", "sentiment", "weight"), "keyword").select(
-            key, text, F.struct("keyword", "sentiment", "weight").alias("w")
-        )
-    count = (F.length(text) - F.length(F.replace(F.col(text), F.col("w.keyword"), F.lit("")))) / F.length("w.keyword")
-    return found.select(key, "w.keyword", "w.sentiment", "w.weight", count.cast("bigint").alias("hits"))
-
-
-def related(articles: DataFrame, scan: int = 20) -> DataFrame:
-    """Per article: the newest other article of its scope with the same sentiment and the newest with another one,
-    among the ``scan`` newest (C15).
-
-    No pairs are formed: each scope contributes one array of its scan+1 newest articles."""
+    words = lexicon.filter(F.coalesce("keyword", F.lit("")) != "").select("keyword", "sentiment", "weight")
+    own = words.select("keyword", F.explode(_grams("keyword")).alias("gram")).distinct()
+    own = own.filter((F.length("gram") == 2) | (F.length("keyword") == 1))
+    common = own.groupBy("gram").agg(F.count("*").alias("n"))
+    index = own.join(common, "gram").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    likely = docs.select(key, F.explode(_grams(text)).alias("gram")).join(index, "gram").select(key, "keyword").distinct()
+    found = likely.join(docs.select(key, text), key).filter(F.contains(F.col(text), F.col("keyword"))).join(words, "keyword")
+    count = (F.length(text) - F.length(F.replace(F.col(text), F.col("keyword"), F.lit("")))) / F.length("keyword")
+    return found.select(key, "keyword", "sentiment", "weight", count.cast("bigint").alias("hits"))
+
+
+def _grams(text: str):
+    """Distinct runs of one and of two characters."""
+    chars = F.split(F.coalesce(F.col(text), F.lit("")), "")
+    pairs = F.transform(F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.length(text) + 1).alias("b")), lambda x: F.concat(x["a"], x["b"]))
+    return F.array_distinct(F.concat(chars, F.filter(pairs, lambda x: x.isNotNull())))
+
+
+def related(articles: DataFrame) -> DataFrame:
+    """Per article: the newest other article of its scope with the same sentiment and the newest with another one.
+
+    No pairs are formed: per scope and sentiment the two newest articles are enough, whoever asks."""
     live = enabled(articles).filter(F.col("scope_id").isNotNull())
     slim = live.select("scope_id", "article_id", "published_at", F.coalesce("sentiment", F.lit("neutral")).alias("sentiment"))
     order = [F.desc("published_at"), F.asc("article_id")]
-    newest = top_per(slim, ["scope_id"], order, scan + 1, "pos")
-    packed = newest.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("pos", "article_id", "sentiment"))).alias("_newest"))
+    newest = top_per(slim, ["scope_id", "sentiment"], order, 2)
+    place = F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("pos"), "article_id", "sentiment")
+    packed = newest.groupBy("scope_id").agg(F.array_sort(F.collect_list(place)).alias("_newest"))  # two per sentiment
     base = articles.filter(F.col("scope_id").isNotNull()).select(
         "article_id", "scope_id", F.coalesce("sentiment", F.lit("neutral")).alias("sentiment")
     )
-    others = F.slice(F.filter("_newest", lambda x: x["article_id"] != F.col("article_id")), 1, scan)
+    others = F.filter("_newest", lambda x: x["article_id"] != F.col("article_id"))
     wide = base.join(packed, "scope_id").withColumn("_others", others)
     same = F.get(F.filter("_others", lambda x: x["sentiment"] == F.col("sentiment")), 0)
     different = F.get(F.filter("_others", lambda x: x["sentiment"] != F.col("sentiment")), 0)

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import math
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.labels import binary_label
 from tidewire.functions.sentiment import boosted, gap_label
 from tidewire.functions.text import model_text
-from tidewire.operators.joins import exclude_trained, lexicon_hits
+from tidewire.operators.joins import lexicon_hits
 from tidewire.operators.ranking import keep_first, top_per
+from tidewire.session import durable
 
 
-def score_sentiment(docs: DataFrame, probabilities: DataFrame, lexicon: DataFrame, body_limit: int | None = 300) -> DataFrame:
+def score_sentiment(docs: DataFrame, probabilities: DataFrame, lexicon: DataFrame, body_limit: int | None = None) -> DataFrame:
     """Label and score per document from given class probabilities and a lexicon (I8).
 
     ``docs``: doc_id, title, content; ``probabilities``: doc_id, positive, negative; ``lexicon``: keyword, sentiment,
-    weight. ``body_limit`` is the input size of the model that gave the probabilities; None takes the whole text.
+    weight. ``body_limit`` cuts the body to the input size of the model that gave the probabilities.
     A document without probabilities gets neutral and 0.0.
     """
     body = F.coalesce("content", F.lit(""))
@@ -60,11 +64,11 @@ def embed(articles: DataFrame, encoder=None, dimension: int = 768) -> DataFrame:
     return unit.withColumn("has_embedding", F.lit(True))
 
 
-def finetune_set(corrections: DataFrame, articles: DataFrame, per_label: int = 100, min_score: float = 0.8, body_limit: int = 200) -> DataFrame:
+def finetune_set(corrections: DataFrame, articles: DataFrame, per_label: int = 100, min_score: float = 0.8, body_limit: int | None = None) -> DataFrame:
     """Training rows (I11): unused corrections with their article text, and the best scored articles of each label.
-    ``body_limit`` is the input size of the model to be trained."""
+    ``body_limit`` cuts the body to the input size of the model to be trained."""
     index = F.create_map(*[F.lit(x) for pair in (("negative", 0), ("neutral", 1), ("positive", 2)) for x in pair])
-    text = F.concat_ws(" ", "title", F.substring("content", 1, body_limit)).alias("text")
+    text = F.concat_ws(" ", "title", F.substring("content", 1, body_limit) if body_limit else F.col("content")).alias("text")
     fresh = corrections.filter(F.col("used_in_finetune") == 0).join(articles.select("article_id", "title", "content"), "article_id").select(
         "article_id", text, index[F.col("corrected_sentiment")].alias("label"), F.lit("correction").alias("origin"))
     known = articles.filter(F.col("sentiment").isNotNull() & (F.col("sentiment_score") >= min_score))
@@ -74,10 +78,6 @@ def finetune_set(corrections: DataFrame, articles: DataFrame, per_label: int = 1
     return fresh.unionByName(model)
 
 
-def unused_for_training(articles: DataFrame, corrections: DataFrame) -> DataFrame:
-    return exclude_trained(articles, corrections)
-
-
 def training_rows(df: DataFrame, label: str = "label", seq: str = "article_id") -> DataFrame:
     """article_id, model text and 0/1 label; unlabelled rows and repeated articles leave."""
     rows = df.select("article_id", F.col(seq).alias("_seq"), model_text("title", "clean_text").alias("text"), binary_label(label).alias("label"))
@@ -91,25 +91,55 @@ def stratified_split(rows: DataFrame, test_share: float = 0.2) -> tuple[DataFram
     return rows.filter(~mark), rows.filter(mark)
 
 
-def train_binary(rows: DataFrame, max_terms: int = 40_000, min_df: int = 2, max_df: float = 0.98, min_per_class: int = 10):
+class BinaryModel:
+    """Terms with their idf, and the fitted regression; :meth:`transform` adds ``features`` and ``probability``."""
+
+    def __init__(self, counts: PipelineModel, idf: list[float]):
+        self.counts, self.idf, self.regression = counts, idf, None
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """(1 + ln tf) * idf of words and word pairs, unit length per text."""
+        idf = self.idf
+
+        @F.udf(VectorUDT())
+        def damped(tf):
+            return Vectors.sparse(tf.size, tf.indices, [(1 + math.log(v)) * idf[i] for i, v in zip(tf.indices, tf.values)])
+
+        counted = self.counts.transform(rows).withColumn("weighted", damped("tf"))
+        return Normalizer(inputCol="weighted", outputCol="features").transform(counted).drop("weighted")
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.regression.transform(self.features(rows))
+
+
+def fit_terms(rows: DataFrame, max_terms: int = 40_000, min_df: int = 2, max_df: float = 0.98) -> BinaryModel:
+    """The ``max_terms`` most frequent words and word pairs, a size of the model, with idf = ln((1 + n) / (1 + df)) + 1."""
+    counts = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)[^\w]+", minTokenLength=2),
+        NGram(n=2, inputCol="words", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms, minDF=min_df, maxDF=max_df),
+    ]).fit(rows)
+    terms = {t: i for i, t in enumerate(counts.stages[-1].vocabulary)}
+    known = rows.sparkSession.createDataFrame(list(terms.items()), "term string, place int")
+    held = counts.transform(rows).select(F.explode(F.array_distinct("terms")).alias("term"))
+    df = {r["place"]: r["df"] for r in held.join(known, "term").groupBy("place").agg(F.count("*").alias("df")).collect()}  # max_terms rows
+    n = rows.count()
+    return BinaryModel(counts, [math.log((1 + n) / (1 + df[i])) + 1 for i in range(len(terms))])
+
+
+def train_binary(rows: DataFrame, max_terms: int = 40_000, min_df: int = 2, max_df: float = 0.98, min_per_class: int = 10) -> BinaryModel:
     """Balanced logistic regression on sublinear tf-idf of words and word pairs (I7); returns the fitted model."""
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if len(sizes) < 2 or min(sizes.values()) < min_per_class:
         raise ValueError(f"each class needs at least {min_per_class} rows, got {sizes}")
     total = sum(sizes.values())
     weights = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, total / (2.0 * v))])
-    weighted = rows.withColumn("weight", weights[F.col("label")])
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)[^\w]+", minTokenLength=2),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms, minDF=min_df, maxDF=max_df),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="unit"),
-        VectorAssembler(inputCols=["unit"], outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / total, maxIter=100),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
+    model = fit_terms(rows, max_terms, min_df, max_df)
+    ready = durable(model.features(rows).select("features", "label", weights[F.col("label")].alias("weight")))
+    model.regression = LogisticRegression(
+        featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / total, maxIter=100, standardization=False).fit(ready)
+    return model
 
 
 def score_binary(rows: DataFrame, model, threshold: float = 0.6) -> DataFrame:

@@ -38,14 +38,23 @@ def newest_first() -> list:
     return [F.desc("published_at"), F.asc("article_id")]
 
 
-def keyword_detail(articles: DataFrame, scopes: DataFrame, keyword: str, newest: int = 50) -> DataFrame:
-    """Total, sentiment split, press count and leading viewpoint of a keyword (D18): one row.
+def _newest(df: DataFrame, n: int | None) -> DataFrame:
+    """The newest n rows, durable since several readers share them; all rows without a number."""
+    return durable(df.orderBy(*newest_first()).limit(n)) if n else df
+
+
+def _newest_per(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    return top_per(df, [key], newest_first(), n) if n else df
+
+
+def keyword_detail(articles: DataFrame, scopes: DataFrame, keyword: str, newest: int | None = None) -> DataFrame:
+    """Total, sentiment split, press count and leading viewpoint of a keyword (D18): one row. ``newest`` narrows the
+    press count and the viewpoint to so many articles.
 
     The split divides by all matching articles, so unlabelled ones fall to negative."""
     hits = enabled(articles).filter(kw_contains("keywords", keyword))
     counts = hits.agg(F.count("*").alias("total_count"), F.count_distinct("scope_id").alias("scope_count"), *ag.label_counts())
-    # two readers share the few newest rows
-    top = durable(ag.first_ranked(hits).select("press", "category", "published_at", "article_id").orderBy(*newest_first()).limit(newest))
+    top = _newest(ag.first_ranked(hits).select("press", "category", "published_at", "article_id"), newest)
     votes = top.filter(~F.col("category").isin(*ko.UNCLASSIFIED)).groupBy("category").agg(F.count("*").alias("n"))
     flow = votes.agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))))
     press = top.agg(F.count_distinct("press"))
@@ -137,10 +146,11 @@ def viewpoint_page(articles: DataFrame, master: DataFrame, wanted: str = "", key
     return rows.withColumn("selected", F.col("es_category") == F.col("chosen")).drop("chosen")
 
 
-def scope_detail(articles: DataFrame, scopes: DataFrame, newest: int = 100) -> DataFrame:
-    """Per scope: article count, sentiment split, update clock over its newest articles (D26), for all scopes in one pass."""
+def scope_detail(articles: DataFrame, scopes: DataFrame, newest: int | None = None) -> DataFrame:
+    """Per scope: article count, sentiment split, update clock (D26), for all scopes in one pass; over all its articles
+    or the ``newest`` of them."""
     live = enabled(articles).filter(F.col("scope_id").isNotNull())
-    top = top_per(live.select("scope_id", "article_id", "published_at", "sentiment"), ["scope_id"], newest_first(), newest)
+    top = _newest_per(live.select("scope_id", "article_id", "published_at", "sentiment"), "scope_id", newest)
     label = F.when(F.col("sentiment").isin(*ko.SENTIMENT_NAMES), F.col("sentiment")).otherwise("neutral")
     sums = top.withColumn("sentiment", label).groupBy("scope_id").agg(F.count("*").alias("article_count"), *ag.label_counts())
     zero = {c: 0 for c in ("article_count", "positive", "neutral", "negative")}
@@ -151,10 +161,10 @@ def scope_detail(articles: DataFrame, scopes: DataFrame, newest: int = 100) -> D
     )
 
 
-def scope_viewpoints(articles: DataFrame, newest: int = 100, n: int = 4) -> DataFrame:
-    """The n most frequent viewpoints of all ranks in a scope's newest articles, as a share of those articles."""
+def scope_viewpoints(articles: DataFrame, newest: int | None = None, n: int = 4) -> DataFrame:
+    """The n most frequent viewpoints of all ranks in a scope's articles, or the ``newest`` of them, as a share of those."""
     live = enabled(articles).filter(F.col("scope_id").isNotNull())
-    top = top_per(live.select("scope_id", "article_id", "published_at", "perspective"), ["scope_id"], newest_first(), newest)
+    top = _newest_per(live.select("scope_id", "article_id", "published_at", "perspective"), "scope_id", newest)
     totals = top.groupBy("scope_id").agg(F.count("*").alias("articles"))
     counts = top.select("scope_id", F.explode("perspective").alias("p")).select("scope_id", F.col("p.category").alias("category")).filter(
         F.col("category").isNotNull() & ~F.col("category").isin(*ko.UNCLASSIFIED)
@@ -177,16 +187,16 @@ def random_keyword(metrics: DataFrame, seed: int = 0, best: int = 10) -> DataFra
     return sample_one(latest_rows(metrics, "date").orderBy(F.desc("article_count"), F.asc("keyword")).limit(best), seed)
 
 
-def issue_chips(articles: DataFrame, scopes: DataFrame, topic: str, newest: int = 30, max_length: int = 32, max_chips: int = 5,
+def issue_chips(articles: DataFrame, scopes: DataFrame, topic: str, newest: int | None = None, max_length: int = 32, max_chips: int = 5,
                 stopwords=tuple(ko.ISSUE_CHIP_STOPWORDS)) -> DataFrame:
-    """Keywords of the scopes behind the newest matching articles, until the length budget is used."""
+    """Keywords of the scopes behind the matching articles (all, or the ``newest``), until the length budget is used."""
     fields = ["title", "summary", "keywords", "content"]
     match = F.lit(False)
     for c in fields:
         match = match | any_word(_text(c), topic)
-    found = enabled(articles).filter(F.col("scope_id").isNotNull() & match).orderBy(*newest_first()).limit(newest)
-    ids = found.select("scope_id").distinct()
-    words = scopes.join(F.broadcast(ids), "scope_id", "left_semi").select(F.explode(keyword_list("scope_keywords")).alias("keyword"))
+    found = enabled(articles).filter(F.col("scope_id").isNotNull() & match)
+    ids = _newest(found, newest).select("scope_id").distinct()
+    words = scopes.join(ids, "scope_id", "left_semi").select(F.explode(keyword_list("scope_keywords")).alias("keyword"))
     counts = words.filter(
         (F.col("keyword") != topic) & ~F.col("keyword").isin(*stopwords) & ~F.col("keyword").rlike(r"(?U)^\d+$")
     ).groupBy("keyword").agg(F.count("*").alias("cnt"))
@@ -208,10 +218,11 @@ def dominant_opinions(scopes: DataFrame, articles: DataFrame, topic: str, n: int
     )
 
 
-def suggest(articles: DataFrame, query: str, n: int = 6, scan: int = 20) -> DataFrame:
-    """Up to n words that hold the query, taken from the best matching articles in order."""
+def suggest(articles: DataFrame, query: str, n: int = 6, scan: int | None = None) -> DataFrame:
+    """Up to n words that hold the query, taken from the matching articles, or the best ``scan`` of them, in order."""
     tests = [(F.contains(_text("keywords"), F.lit(query)), 5), (phrase_prefix(_text("title"), query), 3)]
-    best = boosted_or(enabled(articles), tests).orderBy(F.desc("score"), *newest_first()).limit(scan)
+    best = boosted_or(enabled(articles), tests)
+    best = best.orderBy(F.desc("score"), *newest_first()).limit(scan) if scan else best
     order = F.struct((-F.col("score")).alias("a"), (-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("b"), F.col("article_id"))
     words = F.concat(
         keyword_list("keywords"),

@@ -26,8 +26,10 @@ def upsert_counts(target: DataFrame, rows: DataFrame, key: list, seq: str) -> Da
 
 
 def patch(target: DataFrame, rows: DataFrame, key: list, columns: list) -> DataFrame:
-    """Set some columns by key and leave the others (A6); a NULL in the patch leaves the old value."""
-    fresh = rows.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Set some columns by key and leave the others (A6); a NULL in the patch leaves the old value. Of several patch rows
+    of a key each column takes its largest value, so that no target row is doubled; reduce them beforehand
+    (:func:`dedupe`) where another one should win."""
+    fresh = rows.groupBy(*key).agg(*[F.max(c).alias(f"_new_{c}") for c in columns])
     joined = target.join(fresh, key, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns]

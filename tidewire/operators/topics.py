@@ -10,15 +10,16 @@ from tidewire.functions.keywords import is_valid_keyword, word_role
 from tidewire.functions.packs import KOREAN, TextPack
 from tidewire.functions.text import clean_scope_title, clean_token, words_of
 from tidewire.operators.ranking import top_per
+from tidewire.session import durable
 
 
-def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int = 1000, boost: float = ko.TITLE_BOOST, pack: TextPack = KOREAN,
+def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int | None = None, boost: float = ko.TITLE_BOOST, pack: TextPack = KOREAN,
                    extra_stopwords: DataFrame | None = None) -> DataFrame:
     """The k best keywords per document (I1), from columns doc_id, tokens and title_nouns.
 
-    Weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over the most frequent ``vocabulary`` terms, unit length per
-    document; a title noun that is among the tokens gets ``boost`` on top. Terms are lower-case, the title comparison
-    is not. All steps are aggregations and joins; the vocabulary is bounded by its parameter and broadcast.
+    Weight: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over all terms or the most frequent ``vocabulary`` of them, unit
+    length per document; a title noun that is among the tokens gets ``boost`` on top. Terms are lower-case, the title comparison
+    is not. All steps are aggregations and joins; invalid terms leave before the k best are taken.
     """
     # cleaned before the explode, so that the tests below read a column and do not repeat the cleaning;
     # there is nothing to remove from a token of letters only
@@ -30,14 +31,14 @@ def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int = 1000, boost: f
         valid = valid.join(extra_stopwords.select(F.col("word").alias("token")), "token", "left_anti").join(
             extra_stopwords.select(F.lower("word").alias("_low")), F.lower("token") == F.col("_low"), "left_anti")
     tagged = valid.select("doc_id", F.lower("token").alias("term"), (F.array_contains("title_nouns", F.col("token")) & (F.col("token") == F.lower("token"))).alias("in_title"))
-    tf = tagged.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title"))
+    # three readers share the counts; cleaning and shuffling the tokens happens once
+    tf = durable(tagged.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title")))
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    best = stats.orderBy(F.desc("total"), F.asc("term")).limit(vocabulary).select("term", "df")
+    best = (stats.orderBy(F.desc("total"), F.asc("term")).limit(vocabulary) if vocabulary else stats).select("term", "df")
     n = tf.agg(F.count_distinct("doc_id")).scalar()
-    weights = tf.join(F.broadcast(best), "term").select(  # at most `vocabulary` rows
+    weights = tf.join(best, "term").select(
         "doc_id", "term", "in_title", ((1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("w")
     )
-    # after the vocabulary join a document has at most `vocabulary` terms, so its list is bounded
     terms = F.collect_list(F.struct("term", "in_title", "w")).alias("terms")
     per_doc = weights.groupBy("doc_id").agg(terms, F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     scored = F.transform(
@@ -46,8 +47,9 @@ def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int = 1000, boost: f
             (-(t["w"] / F.col("length") + F.when(t["in_title"], F.lit(boost)).otherwise(0.0))).alias("minus"), t["term"].alias("term")
         ),
     )
-    top = per_doc.select("doc_id", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("pos", "x"))
-    return top.filter(is_valid_keyword("x.term", pack)).select(
+    fit = F.filter(F.array_sort(scored), lambda x: is_valid_keyword(x["term"], pack))
+    top = per_doc.select("doc_id", F.posexplode(F.slice(fit, 1, k)).alias("pos", "x"))
+    return top.select(
         "doc_id", F.col("x.term").alias("keyword"), (F.col("pos") + 1).alias("rank"), (-F.col("x.minus")).alias("score")
     )
 
@@ -65,19 +67,22 @@ def title_nouns(title, pack: TextPack = KOREAN):
     )
 
 
-def scope_titles(articles: DataFrame, newest: int = 20, words: int = 5, max_length: int = 50, pack: TextPack = KOREAN, nouns=None) -> DataFrame:
-    """A title per scope from its newest article titles (I5): tf * (ln((n + 1) / (df + 1)) + 1) inside the scope, the
+def scope_titles(articles: DataFrame, newest: int | None = None, words: int = 5, max_length: int = 50, pack: TextPack = KOREAN, nouns=None) -> DataFrame:
+    """A title per scope from its article titles, all or the ``newest`` (I5): tf * (ln((n + 1) / (df + 1)) + 1) inside the scope, the
     five best words in the order of their roles, cut at a word border; without nouns, the first words of three titles."""
     nouns = nouns or (lambda title: title_nouns(title, pack))
     held = articles.filter(F.col("scope_id").isNotNull() & (F.coalesce("title", F.lit("")) != ""))
-    recent = top_per(held.select("scope_id", "article_id", "title", "published_at"), ["scope_id"],
-                     [F.desc("published_at"), F.asc("article_id")], newest, "pos")
+    order = [F.desc("published_at"), F.asc("article_id")]
+    recent = held.select("scope_id", "article_id", "title", "published_at")
+    recent = top_per(recent, ["scope_id"], order, newest) if newest else recent
     titles = recent.withColumn("title", clean_scope_title("title", pack)).filter(F.col("title") != "")
     sizes = titles.groupBy("scope_id").agg(
         F.count("*").alias("n"),
-        F.array_sort(F.collect_list(F.struct("pos", F.get(words_of("title"), 0).alias("word")))).alias("firsts"),
     )
-    fallback = F.nullif(F.array_join(F.array_distinct(F.slice("firsts", 1, 3)["word"]), " "), F.lit(""))
+    # the fallback needs the three newest titles only
+    firsts = top_per(titles, ["scope_id"], order, 3, "pos").groupBy("scope_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.get(words_of("title"), 0).alias("word")))).alias("firsts"))
+    fallback = F.nullif(F.array_join(F.array_distinct(F.col("firsts")["word"]), " "), F.lit(""))
     tokens = titles.select("scope_id", "article_id", F.explode(nouns(F.col("title"))).alias("word"))
     tf = tokens.groupBy("scope_id", "word", "article_id").agg(F.count("*").alias("c")).groupBy("scope_id", "word").agg(
         F.sum("c").alias("tf"), F.count("*").alias("df"))
@@ -90,6 +95,6 @@ def scope_titles(articles: DataFrame, newest: int = 20, words: int = 5, max_leng
     head = F.substring("title", 1, max_length)
     cut = F.coalesce(F.nullif(F.regexp_extract(head, r"(?s)^(.*) ", 1), F.lit("")), head)
     title = F.when(F.length("title") > max_length, cut).otherwise(F.col("title"))
-    return sizes.join(ordered, "scope_id", "left").select(
+    return sizes.join(firsts, "scope_id").join(ordered, "scope_id", "left").select(
         "scope_id", F.coalesce(title, fallback, F.lit(ko.DEFAULT_SCOPE_TITLE)).alias("scope_title")
     )

@@ -16,9 +16,10 @@ def read_table(spark: SparkSession, path: str, columns: list | None = None, sche
     return df.select(*columns) if columns else df
 
 
-def replace_partition(df: DataFrame, path: str, column: str = "date") -> None:
-    """Replace only the partitions that occur in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+def replace_partition(df: DataFrame, path: str, column: str = "date", files: int = 8) -> None:
+    """Replace only the partitions that occur in ``df`` (A8), each in at most ``files`` files."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    df.repartition(column, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low, high, parts: int, **options) -> DataFrame:
@@ -80,14 +81,14 @@ def apply_corrections(articles: DataFrame, rows: DataFrame, seq: str = "seq") ->
     return changes, patched, judged.groupBy("outcome").agg(F.count("*").alias("cnt"))
 
 
-def export_labels(articles: DataFrame, corrections: DataFrame | None = None, sentiment: str | None = None, excerpt: int = 300) -> DataFrame:
-    """Labelled articles for review, newest first, with a text excerpt (A11); write it with :func:`write_csv`."""
+def export_labels(articles: DataFrame, corrections: DataFrame | None = None, sentiment: str | None = None, excerpt: int | None = None) -> DataFrame:
+    """Labelled articles for review, newest first, with the text or an excerpt of it (A11); write it with :func:`write_csv`."""
     df = articles.filter(F.col("sentiment").isNotNull())
     if sentiment:
         df = df.filter(F.col("sentiment") == sentiment)
     if corrections is not None:
         df = df.join(corrections.filter(F.col("used_in_finetune") == 1).select("article_id"), "article_id", "left_anti")
-    return df.select("article_id", "title", F.substring("content", 1, excerpt).alias("content"), "sentiment", "sentiment_score", "published_at").orderBy(
+    return df.select("article_id", "title", (F.substring("content", 1, excerpt) if excerpt else F.col("content")).alias("content"), "sentiment", "sentiment_score", "published_at").orderBy(
         F.desc("published_at"), F.asc("article_id"))
 
 
