@@ -196,8 +196,10 @@ def test_scope_assignment_equals_a_sequential_pass(spark):
 
 def test_summary_kernels():
     sentences = ["금리 인상이 물가 안정에 도움을 준다", "금리 인상이 물가 안정에 도움을 줄 것이다", "전혀 다른 스포츠 소식이다", "물가 안정과 금리 인상"]
-    m = su.gram_matrix(sentences)
-    assert np.allclose(np.linalg.norm(m, axis=1), 1)
+    m = su.Grams(sentences)
+    rows = np.array([m.dense(i) for i in range(4)])
+    assert np.allclose(np.linalg.norm(rows, axis=1), 1)
+    assert np.allclose(m.against(rows[0]), rows @ rows[0]) and np.allclose(m.mixed(np.arange(4.0)), np.arange(4.0) @ rows)
     assert su.central_sentence(sentences) in (0, 1, 3)
     pdf = pd.DataFrame({"scope_id": "s", "article_id": "a", "pos": [1, 1, 2], "spos": [0, 1, 0], "sentence": ["같은 문장 입니다", "다른 이야기", "같은 문장 입니다"]})
     assert list(su.drop_similar(0.85)(pdf)["sentence"]) == ["같은 문장 입니다", "다른 이야기"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.fixed import korean as ko
@@ -335,10 +334,3 @@ def scope_stats(scopes: DataFrame, n: int = 20) -> DataFrame:
 def recount_scopes(articles: DataFrame) -> DataFrame:
     """Live articles per scope."""
     return enabled(articles).filter(F.col("scope_id").isNotNull()).groupBy("scope_id").agg(F.count("*").alias("news_count"))
-
-
-def share_within(df: DataFrame, keys: list, value: str, name: str = "percent") -> DataFrame:
-    """Half-even percent of a value within its group's total; the input is an aggregate, one row per label."""
-    total = F.sum(value).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1)))
-    return df.withColumn(name, half_even_percent(value, total))
-

@@ -24,7 +24,7 @@ def dedup_ingest(raw: DataFrame, corpus: DataFrame, threshold: float = ko.NEAR_C
     tagged = durable(raw.withColumn("_missing", is_missing(required)))
     whole = tagged.filter(~F.col("_missing")).select(
         F.col("raw_id").alias("id"), "seq", "url", "title", "press", "article_id", F.col("raw_text").alias("text"))
-    fresh = anti_any_key(whole, corpus)
+    fresh = durable(anti_any_key(whole, corpus))
     keys = fresh.select("id", F.explode(F.array(
         F.concat(F.lit("u:"), "url"),
         F.concat(F.lit("m:"), F.sha2(F.concat_ws("\x1f", "title", "press"), 256)),

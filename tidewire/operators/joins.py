@@ -48,7 +48,8 @@ def anti_any_key(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """Rows that share no article id, url or (title, press) with the corpus (C3). NULL and empty keys match nothing."""
     out = rows
     for keys in (["article_id"], ["url"], ["title", "press"]):
-        known = corpus.select(*keys).filter(F.coalesce(F.col(keys[0]), F.lit("")) != "").distinct()
+        # only what the rows ask for is taken from the corpus, so a small batch travels to it and not the other way
+        known = corpus.select(*keys).filter(F.coalesce(F.col(keys[0]), F.lit("")) != "").join(rows.select(*keys), keys, "left_semi")
         out = out.join(known, keys, "left_anti")
     return out.select(*rows.columns)
 

@@ -138,14 +138,6 @@ def viewpoint_newest(articles: DataFrame, category: str, n: int = 5) -> DataFram
     return ranked.orderBy(*newest_first()).limit(n)
 
 
-def viewpoint_page(articles: DataFrame, master: DataFrame, wanted: str = "", keyword: str = "") -> DataFrame:
-    """The detail rows of the chosen viewpoint's whole group; ``selected`` marks the chosen one."""
-    counts = ag.rank1_counts(articles, keyword)
-    chosen = viewpoint_select(master, counts, wanted).select(F.col("group_name"), F.col("es_category").alias("chosen"))
-    rows = viewpoint_detail(articles, master, keyword).join(F.broadcast(chosen), "group_name")  # one row
-    return rows.withColumn("selected", F.col("es_category") == F.col("chosen")).drop("chosen")
-
-
 def scope_detail(articles: DataFrame, scopes: DataFrame, newest: int | None = None) -> DataFrame:
     """Per scope: article count, sentiment split, update clock (D26), for all scopes in one pass; over all its articles
     or the ``newest`` of them."""

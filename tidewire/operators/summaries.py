@@ -18,49 +18,61 @@ from tidewire.functions.vectors import cosine
 from tidewire.operators.ranking import top_per
 
 
-def gram_matrix(sentences, low: int = 2, high: int = 3, limit: int = 2000) -> np.ndarray | None:
-    """Unit rows of smooth tf-idf over character n-grams inside space-padded words, for the most frequent grams."""
-    counts = []
-    for sentence in sentences:
-        grams: Counter = Counter()
-        for word in sentence.lower().split():
-            padded = f" {word} "
-            for n in range(low, high + 1):
-                grams.update(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
-        counts.append(grams)
-    total: Counter = Counter()
-    for grams in counts:
-        total.update(grams)
-    if not total:
-        return None
-    columns = {g: j for j, g in enumerate(sorted(sorted(total), key=lambda g: -total[g])[:limit])}
-    m = np.zeros((len(counts), len(columns)))
-    for i, grams in enumerate(counts):
-        for gram, c in grams.items():
-            if gram in columns:
-                m[i, columns[gram]] = c
-    m *= np.log((1 + len(counts)) / (1 + (m > 0).sum(axis=0))) + 1
-    length = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(length == 0, 1, length)
+class Grams:
+    """Unit rows of smooth tf-idf over character n-grams inside space-padded words, held as (row, gram, weight) entries."""
+
+    def __init__(self, sentences, low: int = 2, high: int = 3):
+        counts = []
+        for sentence in sentences:
+            grams: Counter = Counter()
+            for word in sentence.lower().split():
+                padded = f" {word} "
+                for n in range(low, high + 1):
+                    grams.update(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
+            counts.append(grams)
+        number: dict = {}
+        self.n = len(counts)
+        self.column = np.array([number.setdefault(g, len(number)) for grams in counts for g in sorted(grams)], dtype=np.int64)
+        self.row = np.repeat(np.arange(self.n), [len(g) for g in counts])
+        self.width = len(number)
+        weight = np.array([grams[g] for grams in counts for g in sorted(grams)], dtype=float)
+        held = np.bincount(self.column, minlength=self.width)
+        weight *= (np.log((1 + self.n) / (1 + held)) + 1)[self.column]
+        length = np.sqrt(np.bincount(self.row, weight * weight, minlength=self.n))
+        self.weight = weight / np.where(length == 0, 1, length)[self.row]
+        self.start = np.searchsorted(self.row, np.arange(self.n + 1))
+
+    def mixed(self, x: np.ndarray) -> np.ndarray:
+        """The sum of all rows, each times its x, as a dense vector over the grams."""
+        return np.bincount(self.column, self.weight * x[self.row], minlength=self.width)
+
+    def against(self, v: np.ndarray) -> np.ndarray:
+        """The product of every row with a dense vector."""
+        return np.bincount(self.row, self.weight * v[self.column], minlength=self.n)
+
+    def dense(self, i: int) -> np.ndarray:
+        part = slice(self.start[i], self.start[i + 1])
+        return np.bincount(self.column[part], self.weight[part], minlength=self.width)
 
 
 def central_sentence(sentences, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-5, best: int = 3) -> int:
-    """Of the sentences ranked highest by their similarity graph, the one closest to the first sentence."""
-    m = gram_matrix(sentences)
-    if m is None:
+    """Of the sentences ranked highest by their similarity graph, the one closest to the first sentence.
+
+    The graph is never formed: its row sums and its steps are products with the rows, less each sentence with itself."""
+    m = Grams(sentences)
+    if not m.width:
         return 0
-    n = len(sentences)
-    graph = m @ m.T
-    np.fill_diagonal(graph, 0)
-    out = graph.sum(axis=1)
-    flow = graph / np.where(out == 0, 1, out)[:, None]
-    rank = np.full(n, 1 / n)
+    own = np.bincount(m.row, m.weight * m.weight, minlength=m.n)
+    step = lambda x: m.against(m.mixed(x)) - own * x
+    out = step(np.ones(m.n))
+    out = np.where(np.abs(out) < 1e-12, 0, out)
+    rank = np.full(m.n, 1 / m.n)
     for _ in range(rounds):
-        previous, rank = rank, (1 - damping) / n + damping * (rank @ flow)
+        previous, rank = rank, (1 - damping) / m.n + damping * step(np.where(out == 0, 0, rank / np.where(out == 0, 1, out)))
         if np.abs(rank - previous).sum() < tolerance:
             break
-    leading = np.argsort(rank, kind="stable")[-best:]
-    return int(leading[np.argmax(m[leading] @ m[0])])
+    leading = np.argsort(np.round(rank, 12), kind="stable")[-best:]
+    return int(leading[np.argmax(m.against(m.dense(0))[leading])])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -89,20 +101,21 @@ def drop_similar(threshold: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["pos", "spos"]).reset_index(drop=True)
-        m = gram_matrix(pdf["sentence"]) if len(pdf) > 1 else None
-        if m is None:
+        m = Grams(pdf["sentence"])
+        if not m.width:
             return pdf
         dropped = np.zeros(len(pdf), dtype=bool)
         for i in range(len(pdf)):
             if not dropped[i]:
-                dropped[i + 1 :] |= m[i + 1 :] @ m[i] >= threshold
+                dropped[i + 1 :] |= m.against(m.dense(i))[i + 1 :] >= threshold
         return pdf[~dropped]
 
     return run
 
 
 def scope_sentences(articles: DataFrame, newest: int = 100, per_press: int = 3, pack: TextPack = KOREAN, min_ratio: float = 0.4) -> DataFrame:
-    """Sentences of the newest articles of each scope, few per press, with a validity mark."""
+    """Sentences of the newest articles of each scope, few per press, with a validity mark. The two numbers bound what
+    one scope's summary reads, since its sentences are compared in one task."""
     usable = articles.filter(F.col("scope_id").isNotNull() & F.col("content").isNotNull() & F.col("embedding").isNotNull())
     slim = usable.select("scope_id", "article_id", "published_at", F.coalesce(F.nullif("press", F.lit("")), F.lit("unknown")).alias("press"))
     order = [F.desc("published_at"), F.asc("article_id")]

@@ -55,11 +55,6 @@ def stage_log(df: DataFrame, stage_code: str, failed, failure_kind, message=None
     )
 
 
-def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Process log rows and the error rows that belong to the failures."""
-    return log.drop("error_code", "error_message"), log.filter(F.col("status") == "fail")
-
-
 def union_all(left: DataFrame, right: DataFrame) -> DataFrame:
     """All rows of both, missing columns as typed NULL (G1)."""
     return left.unionByName(right, allowMissingColumns=True)

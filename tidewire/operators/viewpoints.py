@@ -83,17 +83,6 @@ class ViewpointWords:
         return self.lists.get(name, [])
 
 
-def load_words(table: DataFrame, max_words: int = 20_000) -> ViewpointWords:
-    """Read a rule table (list_name, position, word); its size is checked before it is read."""
-    rows = table.select("list_name", "position", "word").orderBy("list_name", "position").limit(max_words + 1).collect()
-    if len(rows) > max_words:
-        raise ValueError(f"the rule table has more than {max_words} words")
-    lists: dict = {}
-    for r in rows:
-        lists.setdefault(r["list_name"], []).append(r["word"])
-    return ViewpointWords(lists)
-
-
 def base_score(words: list, title, body) -> Column:
     """Hits in the title count three times those in the body; a word listed twice counts twice."""
     if not words:

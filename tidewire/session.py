@@ -57,14 +57,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting that at most ``max_rows`` rows exist; otherwise leave
-    the join to a shuffle. The count stops at the bound and never scans further than it must."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-split a table that is stored in fewer pieces than there are cores, so that text work on it runs in
     parallel; a table with enough pieces is left as it is."""
