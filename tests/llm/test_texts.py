@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.plain import bench_words
 from tidewire.llm import decontamination
 from tidewire.llm.bpe import Vocabulary, encode
 from tidewire.llm.quality_rules import drop_rejected, quality_rules
@@ -137,10 +138,6 @@ def test_mined_rules_against_plain_counts(spark):
         assert abs(rule.confidence - sum(having) / len(having)) < 1e-9 and rule.confidence >= 0.45 and sum(having) / len(data) >= 0.03
 
 
-def bench_words(text):
-    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-
-
 @pytest.mark.parametrize("part", [16 << 20, 3000])
 def test_decontamination(spark, part, monkeypatch):
     monkeypatch.setattr(decontamination, "PART_BYTES", part)
