@@ -287,13 +287,22 @@ query("latest_day_top_keywords", f"WITH m AS ({METRICS}) SELECT date, keyword, a
 query("articles_page", f"SELECT article_id, published_at FROM articles WHERE {LIVE} ORDER BY published_at DESC, article_id LIMIT 20 OFFSET 40")(
     lambda t: rk.page(fl.enabled(t.articles).select("article_id", "published_at"), [F.desc("published_at"), F.asc("article_id")], 3, 20))
 query("articles_page_info", f"SELECT count(*) AS total, count(*) > 60 AS has_more FROM articles WHERE {LIVE}")(lambda t: rk.page_info(fl.enabled(t.articles), 3, 20))
-query("random_scope")(lambda t: rp.random_scope(t.articles, t.scopes, "2024-01-08 00:00:00"))
-query("random_keyword")(lambda t: rp.random_keyword(durable(ag.daily_keyword_metrics(t.articles, pack=LATIN))))
+query("random_scope", f"""SELECT s.*, live_count FROM scopes s JOIN (SELECT scope_id, count(*) AS live_count FROM articles WHERE {LIVE} AND scope_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 5) USING (scope_id)
+ WHERE created_at >= TIMESTAMP '2024-01-01' AND created_at <= TIMESTAMP '2024-01-08' ORDER BY md5('0:' || scope_id), scope_id LIMIT 1""")(
+    lambda t: rp.random_scope(t.articles, t.scopes, "2024-01-08 00:00:00"))
+query("random_keyword", f"""WITH m AS ({METRICS}), b AS (SELECT * FROM m WHERE date = (SELECT max(date) FROM m) ORDER BY article_count DESC, keyword LIMIT 10)
+ SELECT date, keyword, article_count FROM b ORDER BY md5('0:' || keyword), keyword LIMIT 1""")(
+    lambda t: rp.random_keyword(durable(ag.daily_keyword_metrics(t.articles, pack=LATIN))))
 query("merged_logs", """WITH a AS (SELECT history_id AS id, occurred_at, status, NULL AS error_code FROM process_logs ORDER BY occurred_at DESC, id DESC LIMIT 100),
  b AS (SELECT e.history_id AS id, p.occurred_at, NULL AS status, e.error_code FROM error_logs e JOIN process_logs p USING (history_id) ORDER BY occurred_at DESC, id DESC LIMIT 100) SELECT * FROM a UNION ALL SELECT * FROM b""")(
     lambda t: rk.merge_logs(t.process_logs.select(F.col("history_id").alias("id"), "occurred_at", "status"),
                             t.error_logs.join(t.process_logs, "history_id").select(F.col("history_id").alias("id"), "occurred_at", "error_code"), "occurred_at", "id", 100))
-query("suggest_words")(lambda t: rp.suggest(t.articles, "tion"))
+query("suggest_words", f"""WITH s AS (SELECT article_id, published_at, title, keywords, CASE WHEN contains(coalesce(keywords, ''), 'tion') THEN 5 ELSE 0 END + CASE WHEN contains({norm('title')}, ' tion') THEN 3 ELSE 0 END AS score FROM articles WHERE {LIVE}),
+ w AS (SELECT score, published_at, article_id, list_concat(list_filter(list_transform(string_split(coalesce(keywords, ''), ','), lambda k: trim(k)), lambda k: k <> ''),
+   CASE WHEN contains(coalesce(title, ''), 'tion') THEN list_transform(list_filter(regexp_split_to_array(translate(title, '…·', '  '), '\\s+'), lambda t: t <> ''), lambda t: trim(t, '[]()"''‘’“”,.')) ELSE [] END) AS ws FROM s WHERE score > 0),
+ f AS (SELECT unnest(ws) AS word, generate_subscripts(ws, 1) AS i, score, published_at, article_id FROM w),
+ o AS (SELECT *, row_number() OVER (ORDER BY score DESC, published_at DESC, article_id, i) AS n FROM f WHERE contains(word, 'tion'))
+ SELECT word FROM (SELECT word, min(n) AS n FROM o GROUP BY 1) ORDER BY n LIMIT 6""")(lambda t: rp.suggest(t.articles, "tion"))
 query("balanced_sample", "SELECT sentiment, article_id FROM articles WHERE sentiment_score >= 0.8 AND sentiment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY sentiment_score DESC, article_id) <= 100")(
     lambda t: rk.top_per(t.articles.filter("sentiment IS NOT NULL AND sentiment_score >= 0.8"), ["sentiment"], [F.desc("sentiment_score"), F.asc("article_id")], 100).select("sentiment", "article_id"))
 

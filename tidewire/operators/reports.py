@@ -169,14 +169,14 @@ def random_scope(articles: DataFrame, scopes: DataFrame, now, seed: int = 0, day
     """One random recent scope that really has enough live articles (F4): the recount replaces retries."""
     live = ag.recount_scopes(articles).withColumnRenamed("news_count", "live_count").filter(F.col("live_count") >= min_articles)
     recent = since_days(scopes, "created_at", days, now).filter(F.col("created_at") <= F.lit(now).cast("timestamp"))
-    return sample_one(recent.join(live, "scope_id"), seed)
+    return sample_one(recent.join(live, "scope_id"), "scope_id", seed)
 
 
 def random_keyword(metrics: DataFrame, seed: int = 0, best: int = 10) -> DataFrame:
     """One of the ten leading keywords of the newest day."""
     from tidewire.operators.ranking import latest_rows
 
-    return sample_one(latest_rows(metrics, "date").orderBy(F.desc("article_count"), F.asc("keyword")).limit(best), seed)
+    return sample_one(latest_rows(metrics, "date").orderBy(F.desc("article_count"), F.asc("keyword")).limit(best), "keyword", seed)
 
 
 def issue_chips(articles: DataFrame, scopes: DataFrame, topic: str, newest: int | None = None, max_length: int = 32, max_chips: int = 5,
