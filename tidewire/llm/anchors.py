@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.blocks import LAST, Block, answer, array_of, ask, attach, bucket_count, gram_hash, grouped, pack, prefix_sums, range_hash, unpacked
+from tidewire.llm.blocks import LAST, Block, answer, array_of, ask, attach, bucket_count, gram_hash, grouped, pack, placed, prefix_sums, range_hash, unpacked
 from tidewire.session import durable
 
 STEP = 1 << 19
@@ -336,7 +336,7 @@ def find_repeats(docs: DataFrame, id_column: str, text: str, rows: Callable[[Blo
     the struct ``rest`` of the carried columns is added."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = bucket_count(size)
-    blocks = durable(pack(docs, id_column, text, most, carry).repartition("block"))
+    blocks = placed(pack(docs, id_column, text, most, carry))
     shared = durable(answer(ask(blocks, _ask_shared(rows, length, gram, n), ASK_SHARED), _tell_shared, SHARED))
     knowing = attach(blocks, shared, "shared")
     told = answer(ask(knowing, _ask_least(rows, length, gram, n), ASK_LEAST, "shared"), _tell_least(solve, length, gram), LEAST)

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import durable
+
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 #: Stands for a null id, which comes after every other.
@@ -170,6 +172,12 @@ def unpacked(batches: Iterator[pa.RecordBatch], *answers: str) -> Iterator[Block
             yield Block(columns["block"][i].as_py(), ids, offsets, np.frombuffer(raw, dtype=np.uint8), got, rest)
 
 
+def placed(blocks: DataFrame) -> DataFrame:
+    """The blocks written to the shared folder, dealt out by block. The stated number of partitions keeps adaptive
+    execution from merging them, so that answers are joined without moving the blocks again."""
+    return durable(blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"))
+
+
 def bucket_count(n_bytes: int) -> int:
     """Buckets for the messages about so many bytes of text."""
     return max(32, -(-n_bytes // BUCKET_BYTES))

@@ -2,8 +2,8 @@
 
 Documents are cut down to those that can have a partner at all, exactly and in three questions of the blocks: equal sets
 become one class; a class stays when a token of its prefix (longest shingles first) is shared; of those, a class stays
-when enough of all its tokens are shared. The rest are grouped: every token's class of least key is compared with the
-other classes of the token, and what links forms groups of similar documents. The matrix holds the union of each group's
+when enough of all its tokens are shared. The rest are grouped: a leader of every token is compared with the other classes of
+the token, and what links forms groups of similar documents. The matrix holds the union of each group's
 tokens. A class from outside is counted against the union first; only groups whose count reaches the threshold are
 opened and compared member by member.
 """
@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.blocks import LAST, Block, answer, array_of, ask, attach, bucket_count, gram_hash, grouped, pack, prefix_sums, unpacked, word_hashes
+from tidewire.llm.blocks import LAST, Block, answer, array_of, ask, attach, bucket_count, gram_hash, grouped, pack, placed, prefix_sums, unpacked, word_hashes
 from tidewire.llm.components import components
 from tidewire.session import durable
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 GROUP_SIZE = 64
+LEADER_ROUNDS = 2
 BLOCK_BYTES = 4 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -56,11 +57,11 @@ def token_sets(block: Block, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np
     sizes = np.concatenate([[0], np.cumsum(ends - starts)])
     docs, hashes, lengths = [], [], []
     if len(starts) >= width:
-        doc = np.searchsorted(bounds, np.arange(len(starts) - width + 1), side="right") - 1
-        inside = bounds[doc + 1] >= np.arange(len(starts) - width + 1) + width
-        docs.append(doc[inside])
-        hashes.append(gram_hash(sums, width)[inside])
-        lengths.append((sizes[width:] - sizes[:-width])[inside])
+        doc = np.repeat(np.arange(len(counts)), np.maximum(counts - width + 1, 0))
+        at = bounds[doc] + np.arange(len(doc)) - np.searchsorted(doc, doc)
+        docs.append(doc)
+        hashes.append(gram_hash(sums, width)[at])
+        lengths.append(sizes[at + width] - sizes[at])
     short = np.flatnonzero((counts > 0) & (counts < width))
     for n in range(1, width):
         some = short[counts[short] == n]
@@ -72,8 +73,12 @@ def token_sets(block: Block, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np
         return np.zeros(0, dtype=np.uint64), np.zeros(len(counts) + 1, dtype=np.int64)
     doc, hashed, length = (np.concatenate(x) for x in (docs, hashes, lengths))
     tokens = ((255 - np.minimum(length, 255)).astype(np.uint64) << np.uint64(56)) | (hashed & np.uint64((1 << 56) - 1))
-    order = np.lexsort((tokens, doc))
-    doc, tokens = doc[order], tokens[order]
+    if len(docs) > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, tokens = doc[order], tokens[order]
+    cuts = np.searchsorted(doc, np.arange(len(counts) + 1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        tokens[a:b].sort()
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tokens[1:] != tokens[:-1])])
     doc, tokens = doc[new], tokens[new]
     return tokens, np.searchsorted(doc, np.arange(len(counts) + 1))
@@ -228,11 +233,19 @@ def _in_reach(n: str, low: str, high: str, percent: int):
 
 def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) -> DataFrame:
     """``node, component`` of the classes that have a link."""
-    heads = durable(sets.select("key", "n", F.explode(F.slice("tokens", 1, F.col("head"))).alias("token")))
-    # 1. groups of similar classes: every class against the class of least key of each of its prefix tokens
-    first = heads.groupBy("token").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("many")).filter("many > 1")
-    tried = heads.join(first, "token").filter("key <> first.key").filter(_in_reach("n", "first.n", "first.n", percent))
-    links = durable(_linked(tried.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct(), sets, percent))
+    alone = (F.col("n") - F.size("tokens")) / F.col("n")
+    heads = durable(sets.select("key", "n", alone.alias("alone"), F.explode(F.slice("tokens", 1, F.col("head"))).alias("token")))
+    # 1. groups of similar classes: every class against one leader of each of its prefix tokens, the one with the
+    #    smallest share of tokens of its own; what does not link stands for the next round's leaders
+    links = None
+    rest = heads
+    for _ in range(LEADER_ROUNDS):
+        leaders = rest.groupBy("token").agg(F.min(F.struct("alone", "key", "n")).alias("lead"), F.count("*").alias("many")).filter("many > 1")
+        tried = rest.join(leaders.select("token", "lead"), "token").filter("key <> lead.key").withColumn("a", F.col("lead.key"))
+        pairs = tried.filter(_in_reach("n", "lead.n", "lead.n", percent)).select("a", F.col("key").alias("b")).distinct()
+        linked = durable(_linked(pairs, sets, percent))
+        links = linked if links is None else links.unionByName(linked)
+        rest = durable(tried.join(linked.withColumnRenamed("b", "key"), ["a", "key"], "left_anti").select("token", "key", "n", "alone"))
     similar = durable(components(links))
     # 2. the matrix: groups of bounded size within a component, with the union of their tokens
     sized = similar.groupBy("component").agg(F.count("*").alias("size"))
@@ -240,7 +253,7 @@ def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) ->
     grouped_sets = durable(
         sets.join(of, "key", "left").select("key", "n", "tokens", F.coalesce("component", "key").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
     )
-    spots = heads.join(grouped_sets.select("key", "component", "piece"), "key")
+    spots = heads.drop("alone").join(grouped_sets.select("key", "component", "piece"), "key")
     shares = spots.groupBy("token", "component").agg(F.count("*").alias("many"))
     mixed = shares.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
     spots = durable(spots.join(mixed, "token"))
@@ -265,7 +278,7 @@ def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) ->
 def _grouped_members(docs: DataFrame, id_column: str, text: str, percent: int, most: int, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The blocks, and for each of their texts ``doc_id, n_shingles, key, block, line, component, component_id``."""
     n = bucket_count(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    blocks = durable(pack(docs, id_column, text, most, carry).repartition("block"))
+    blocks = placed(pack(docs, id_column, text, most, carry))
     members = durable(blocks.mapInArrow(_members, "doc_id long, n_shingles long, key string, block long, line long"))
     spot = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "block", "line")
     classes = durable(members.filter("key IS NOT NULL").groupBy("key").agg(F.min(spot).alias("first"), F.min("doc_id").alias("least")))
