@@ -173,9 +173,17 @@ def unpacked(batches: Iterator[pa.RecordBatch], *answers: str) -> Iterator[Block
 
 
 def placed(blocks: DataFrame) -> DataFrame:
-    """The blocks written to the shared folder, dealt out by block. The stated number of partitions keeps adaptive
-    execution from merging them, so that answers are joined without moving the blocks again."""
-    return durable(blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"))
+    """The blocks written to the shared folder, dealt out by block, so that answers join them where they are.
+
+    A checkpoint only remembers how its rows are dealt out when adaptive execution had no part in it.
+    """
+    conf = blocks.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return durable(blocks.repartition(int(conf.get("spark.sql.shuffle.partitions")), "block"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
 
 
 def bucket_count(n_bytes: int) -> int:
