@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.blocks import Block, answer, array_of, ask, attach, bucket_count, pack, unpacked, word_hashes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
 
 WORDS = "bucket long, block long, sum long, words binary"
