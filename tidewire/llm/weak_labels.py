@@ -100,31 +100,40 @@ def _tokens() -> Column:
     return F.concat(F.expr("transform(words, w -> concat('w:', w))"), F.expr("transform(shapes, s -> concat('s:', s))"), F.array_repeat(F.concat(F.lit("v:"), variety), F.size("words") + 1))
 
 
+def label_model(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+    """The rows of :func:`with_features` with their votes, and the label model fitted on the votes of all rows.
+
+    Votes are counted by pattern; three to the number of labellers at most reach the driver.
+    """
+    rows = votes(with_features(docs, id_column, text))
+    counted = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    return rows, fit_votes(counted) | {"rows": sum(counted.values())}
+
+
+def weak_labels(rows: DataFrame, model: dict) -> DataFrame:
+    """``rows`` with the label model's ``posterior`` of a good text."""
+    known = rows.sparkSession.createDataFrame(list(model["posterior"].items()), "votes string, posterior double")
+    return rows.join(F.broadcast(known), "votes")  # one row per pattern, 3 ** 7 at most
+
+
 def quality_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
-    """One row per input row: ``doc_id, votes, posterior, score, kept``.
+    """One row per input row: ``doc_id, score, kept``.
 
-    Votes of all rows are counted by pattern (3 to the number of labellers at most reach the driver) for the label
-    model; its posteriors, as labels weighted by their certainty, train the scorer on a hash sample of about
+    The label model's posteriors, as labels weighted by their certainty, train the scorer on a hash sample of about
     ``fit_rows`` rows. ``score`` is the scorer's probability of a good text, ``kept`` whether it is at least one half.
     A null or empty text has no words: its labellers abstain. Without both classes among the fitted labels (as in an
     empty table) the score is the posterior. Repeated rows score alike; other columns are not read.
     """
-    rows = votes(with_features(docs, id_column, text))
-    counted = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    model = fit_votes(counted)
-    known = docs.sparkSession.createDataFrame(list(model["posterior"].items()), "votes string, posterior double")
-    labelled = rows.join(F.broadcast(known), "votes")  # one row per pattern, 3 ** 7 at most
-    total = sum(counted.values())
-    share = min(1.0, fit_rows / max(1, total))
-    hashed = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=BUCKETS)
-    scaled = Normalizer(inputCol="counts", outputCol="features", p=2.0)
-    features = PipelineModel([hashed, scaled])
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * share))
-    taught = chosen.withColumn("tokens", _tokens()).withColumn("label", (F.col("posterior") >= 0.5).cast("double")).withColumn("weight", 2 * F.abs(F.col("posterior") - 0.5) + 1e-3)
-    taught = durable(features.transform(taught).select("features", "label", "weight"))
+    rows, model = label_model(docs, id_column, text)
+    share = min(1.0, fit_rows / max(1, model["rows"]))
+    features = PipelineModel([HashingTF(inputCol="tokens", outputCol="counts", numFeatures=BUCKETS), Normalizer(inputCol="counts", outputCol="features", p=2.0)])
+    chosen = rows.filter(F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * share))
+    taught = weak_labels(chosen, model).withColumn("tokens", _tokens()).withColumn("label", (F.col("posterior") >= 0.5).cast("double"))
+    taught = taught.withColumn("weight", 2 * F.abs(F.col("posterior") - 0.5) + 1e-3)
+    taught = durable(features.transform(taught).select("features", "label", "weight")).coalesce(4)  # about fit_rows rows
     keep = F.col("score") >= 0.5
     if taught.select("label").distinct().count() < 2:
-        return labelled.select("doc_id", "votes", "posterior", F.col("posterior").alias("score")).withColumn("kept", keep)
+        return weak_labels(rows, model).select("doc_id", F.col("posterior").alias("score")).withColumn("kept", keep)
     scorer = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1e-6, maxIter=100, standardization=False).fit(taught)
-    scored = scorer.transform(features.transform(labelled.withColumn("tokens", _tokens())))
-    return scored.select("doc_id", "votes", "posterior", vector_to_array("probability")[1].alias("score")).withColumn("kept", keep)
+    scored = scorer.transform(features.transform(with_features(docs, id_column, text).withColumn("tokens", _tokens())))
+    return scored.select("doc_id", vector_to_array("probability")[1].alias("score")).withColumn("kept", keep)
