@@ -11,6 +11,7 @@ opened and compared member by member.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from tidewire.session import durable
 SHINGLE_WORDS = 5
 PERCENT = 80
 GROUP_SIZE = 64
+SIZE_STEP = 1.05
 LEADER_ROUNDS = 2
 BLOCK_BYTES = 4 << 20
 
@@ -247,11 +249,14 @@ def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) ->
         links = linked if links is None else links.unionByName(linked)
         rest = durable(tried.join(linked.withColumnRenamed("b", "key"), ["a", "key"], "left_anti").select("token", "key", "n", "alone"))
     similar = durable(components(links))
-    # 2. the matrix: groups of bounded size within a component, with the union of their tokens
-    sized = similar.groupBy("component").agg(F.count("*").alias("size"))
-    of = similar.join(sized, "component").select(F.col("node").alias("key"), "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / group_size)).alias("piece"))
+    # 2. the matrix: groups of bounded size and of nearly equal set sizes within a component, with the union of their tokens
+    width = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP)).cast("string")
+    placed_in = durable(similar.withColumnRenamed("node", "key").join(sets.select("key", "n"), "key").select("key", "component", width.alias("width")))
+    sized = placed_in.groupBy("component", "width").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / group_size)).cast("string")
+    of = placed_in.join(sized, ["component", "width"]).select("key", "component", F.concat_ws(":", "width", part).alias("piece"))
     grouped_sets = durable(
-        sets.join(of, "key", "left").select("key", "n", "tokens", F.coalesce("component", "key").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
+        sets.join(of, "key", "left").select("key", "n", "tokens", F.coalesce("component", "key").alias("component"), F.coalesce("piece", F.lit("")).alias("piece"))
     )
     spots = heads.drop("alone").join(grouped_sets.select("key", "component", "piece"), "key")
     shares = spots.groupBy("token", "component").agg(F.count("*").alias("many"))
@@ -259,13 +264,18 @@ def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) ->
     spots = durable(spots.join(mixed, "token"))
     asking = spots.filter("component <> main").select("token", "key", "n", F.col("component").alias("own"))
     cells = spots.groupBy("token", "component", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    tried = asking.join(cells, "token").filter("own <> component").filter(_in_reach("n", "low", "high", percent)).select("key", "n", "component", "piece").distinct()
+    tried = asking.join(cells, "token").filter("own <> component").filter(_in_reach("n", "low", "high", percent))
+    tried = tried.groupBy("key", "n", "component", "piece").agg(F.min("low").alias("low"))  # of the members that share a prefix token
     wanted = tried.select("component", "piece").distinct()
     unions = (
         grouped_sets.join(wanted, ["component", "piece"], "left_semi").groupBy("component", "piece").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     )  # at most about group_size sets each
     own = sets.select("key", "tokens")
-    reach = tried.join(own, "key").join(unions, ["component", "piece"]).filter(100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n"))
+    # a set of n tokens needs percent * (n + m) / (100 + percent) in common with one of m, and m is at least percent * n / 100
+    least = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
+    reach = tried.join(own, "key").join(unions, ["component", "piece"]).filter(
+        (100 + percent) * F.size(F.array_intersect("tokens", "union")) >= percent * (F.col("n") + least)
+    )
     opened = durable(reach.select("key", "n", "component", "piece"))
     inside = grouped_sets.select("component", "piece", F.col("key").alias("other"), F.col("n").alias("other_n"))
     pairs = opened.join(inside, ["component", "piece"]).filter(_in_reach("n", "other_n", "other_n", percent))
