@@ -109,15 +109,16 @@ def rule_text(text, pack: TextPack = KOREAN) -> Column:
     return out
 
 
-def model_text(title, body, body_limit: int = 2000) -> Column:
-    """Title twice, then the body up to the model's input size."""
+def model_text(title, body, body_limit: int | None = None) -> Column:
+    """Title twice, then the body; ``body_limit`` cuts it to the input size of a model."""
 
     def tidy(value):
         squeezed = F.regexp_replace(F.coalesce(as_col(value), F.lit("")), wide(r"\s+"), " ")
         bare = F.regexp_replace(squeezed, wide(r"\[[^\]]*\]|\([^)]*\)|#\S+"), " ")
         return strip(F.regexp_replace(bare, wide(r"\s+"), " "))
 
-    return strip(F.concat_ws(" ", tidy(title), tidy(title), F.substring(tidy(body), 1, body_limit)))
+    whole = tidy(body)
+    return strip(F.concat_ws(" ", tidy(title), tidy(title), F.substring(whole, 1, body_limit) if body_limit else whole))
 
 
 # --- sentences -----------------------------------------------------------------------------------

@@ -78,9 +78,9 @@ def finetune_set(corrections: DataFrame, articles: DataFrame, per_label: int = 1
     return fresh.unionByName(model)
 
 
-def training_rows(df: DataFrame, label: str = "label", seq: str = "article_id") -> DataFrame:
-    """article_id, model text and 0/1 label; unlabelled rows and repeated articles leave."""
-    rows = df.select("article_id", F.col(seq).alias("_seq"), model_text("title", "clean_text").alias("text"), binary_label(label).alias("label"))
+def training_rows(df: DataFrame, label: str = "label", seq: str = "article_id", body_limit: int | None = None) -> DataFrame:
+    """article_id, model text and 0/1 label; unlabelled rows and repeated articles leave. ``body_limit`` as in ``model_text``."""
+    rows = df.select("article_id", F.col(seq).alias("_seq"), model_text("title", "clean_text", body_limit).alias("text"), binary_label(label).alias("label"))
     rows = rows.filter(F.col("label").isNotNull() & (F.col("text") != ""))
     return keep_first(rows, ["article_id"], "_seq").drop("_seq")
 
