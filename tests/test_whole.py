@@ -1,11 +1,17 @@
 """Operators and queries take whole texts and tables."""
 
+import datetime as dt
+import random
+
 import duckdb
+import pandas as pd
 
 import __spark_entry__ as entry
+from checks.packs import LATIN
 from checks.verify import rows_of
 from checks.views import TABLES
 from tidewire.operators import models as md
+from tidewire.operators import summaries as su
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,3 +40,40 @@ def test_training_query_equals_its_sql_without_the_cut(spark):
     whole = entry.oracle_sql()["binary_training_rows"].replace("substr(", "(").replace(", 1, 2000)", ")")
     assert "2000" not in whole
     assert spark_rows(spark, "binary_training_rows") == duck_rows(whole)
+
+
+def test_scope_sentences_take_all_articles(spark):
+    rows = [("s", f"a{i:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), "one", f"Sentence number {i} stands in this article alone.", [1.0, 0.0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "scope_id string, article_id string, published_at timestamp, press string, content string, embedding array<double>")
+    assert su.scope_sentences(df, pack=LATIN).select("article_id").distinct().count() == 150
+    assert su.scope_sentences(df, 100, 3, LATIN).select("article_id").distinct().count() == 3
+
+
+def test_scope_summary_is_that_of_the_whole_scope(spark):
+    plain = "Sentence about the harbour and its boats number"
+    rows = [("s", f"a{i:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), "one", f"{plain} {chr(97 + i % 26)}{chr(97 + i // 26)}.", [0.0, 1.0]) for i in range(120)]
+    rows[0] = (*rows[0][:4], "The 3 boats of the nation with the best position on day 12.", [0.0, 1.0])  # the oldest scores highest
+    df = spark.createDataFrame(rows, "scope_id string, article_id string, published_at timestamp, press string, content string, embedding array<double>")
+    scopes = spark.createDataFrame([("s", "")], "scope_id string, scope_keywords string")
+    assert su.scope_summaries(df, scopes, pack=LATIN).first()["scope_summary"] == rows[0][4]
+
+
+def test_distinct_sentences_equal_a_pass_in_order(spark):
+    rng = random.Random(3)
+    words = ["harbour", "boat", "nation", "position", "market", "paper", "river", "winter", "morning", "engine", "letter", "garden"]
+    rows, pos = [], 0
+    for scope, articles in (("a", 60), ("b", 8), ("c", 1)):
+        base = [[rng.choice(words) for _ in range(8)] for _ in range(6)]
+        for _ in range(articles):
+            pos += 1
+            for spos in range(3):
+                line = list(rng.choice(base))
+                for _ in range(rng.choice((0, 0, 1, 2, 4))):
+                    line[rng.randrange(8)] = rng.choice(words)
+                rows.append((scope, f"d{pos}", pos, spos, " ".join(line)))
+    names = ["scope_id", "article_id", "pos", "spos", "sentence"]
+    df = spark.createDataFrame(rows, "scope_id string, article_id string, pos bigint, spos int, sentence string")
+    want = pd.concat([su.drop_similar(0.85)(part) for _, part in pd.DataFrame(rows, columns=names).groupby("scope_id")])
+    got = su.distinct_sentences(df, group_rows=20).select(*names).collect()
+    assert 10 < len(want) < len(rows) - 10
+    assert sorted(map(tuple, got)) == sorted(want.itertuples(index=False, name=None))

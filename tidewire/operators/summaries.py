@@ -15,21 +15,26 @@ from tidewire.functions import text as tx
 from tidewire.functions.keywords import keyword_list
 from tidewire.functions.packs import KOREAN, TextPack
 from tidewire.functions.vectors import cosine
-from tidewire.operators.ranking import top_per
+from tidewire.operators.ranking import number_rows, top_per
+from tidewire.operators.similarity import first_come
+from tidewire.session import durable
+
+
+def gram_counts(sentence: str, low: int = 2, high: int = 3) -> Counter:
+    """Character n-grams inside the space-padded words of a sentence."""
+    grams: Counter = Counter()
+    for word in sentence.lower().split():
+        padded = f" {word} "
+        for n in range(low, high + 1):
+            grams.update(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
+    return grams
 
 
 class Grams:
     """Unit rows of smooth tf-idf over character n-grams inside space-padded words, held as (row, gram, weight) entries."""
 
     def __init__(self, sentences, low: int = 2, high: int = 3):
-        counts = []
-        for sentence in sentences:
-            grams: Counter = Counter()
-            for word in sentence.lower().split():
-                padded = f" {word} "
-                for n in range(low, high + 1):
-                    grams.update(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
-            counts.append(grams)
+        counts = [gram_counts(sentence, low, high) for sentence in sentences]
         number: dict = {}
         self.n = len(counts)
         self.column = np.array([number.setdefault(g, len(number)) for grams in counts for g in sorted(grams)], dtype=np.int64)
@@ -113,14 +118,57 @@ def drop_similar(threshold: float):
     return run
 
 
-def scope_sentences(articles: DataFrame, newest: int = 100, per_press: int = 3, pack: TextPack = KOREAN, min_ratio: float = 0.4) -> DataFrame:
-    """Sentences of the newest articles of each scope, few per press, with a validity mark. The two numbers bound what
-    one scope's summary reads, since its sentences are compared in one task."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def gram_list(sentences: pd.Series) -> pd.Series:
+    return sentences.map(lambda s: sorted(gram_counts(s).elements()))
+
+
+def distinct_sentences(sentences: DataFrame, threshold: float = ko.SENTENCE_COPY_COSINE, group_rows: int = 2_000) -> DataFrame:
+    """What ``drop_similar`` keeps of every scope (I3). A scope of at most ``group_rows`` sentences is compared in one
+    step; a larger one gives the same by shared rare grams, without being held in one task."""
+    sentences = durable(sentences)
+    sizes = sentences.groupBy("scope_id").agg(F.count("*").alias("n"))
+    large = durable(sizes.filter(F.col("n") > group_rows).select("scope_id"))
+    few = sentences.join(large, "scope_id", "left_anti").select(*sentences.columns).groupBy("scope_id").applyInPandas(drop_similar(threshold), sentences.schema)
+    if large.isEmpty():
+        return few
+    return few.unionByName(_distinct_of_large(sentences.join(large, "scope_id", "left_semi"), threshold))
+
+
+def _distinct_of_large(sentences: DataFrame, threshold: float) -> DataFrame:
+    """Sentences that a pass in order keeps, over the cluster.
+
+    Input: scope_id, pos, spos, sentence and others; pos is unique over all scopes. Weights are fitted per scope over all
+    of its sentences. Grams carry their scope, so only sentences of one scope meet."""
+    order = F.col("pos").cast("bigint") * F.lit(2**31) + F.col("spos")
+    rows = durable(sentences.withColumn("id", order).withColumn("words", gram_list("sentence")))
+    mark = F.lit("\x1f")  # white space, so no gram holds it
+    signed = durable(rows.select("id", F.col("id").alias("seq"), "scope_id", F.sha2(F.concat("scope_id", mark, F.array_join("words", "\x1f")), 256).alias("sig"), "words"))
+    held = signed.filter(F.size("words") > 0).groupBy("sig").agg(F.any_value("scope_id").alias("scope_id"), F.any_value("words").alias("words"), F.count("*").alias("times"))
+    tf = held.select("sig", "scope_id", "times", F.explode("words").alias("term")).groupBy("sig", "scope_id", "times", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("scope_id", "term").agg(F.sum("times").alias("df"))
+    sizes = signed.groupBy("scope_id").agg(F.count("*").alias("n"))
+    weight = F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    raw = tf.join(df, ["scope_id", "term"]).join(sizes, "scope_id").select("sig", F.concat("scope_id", mark, "term").alias("term"), "df", weight.alias("raw"))
+    length = raw.groupBy("sig").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    vectors = raw.join(length, "sig").select("sig", "term", "df", (F.col("raw") / F.col("length")).alias("w"))
+    own = signed.select("id", F.concat(F.lit("i:"), F.col("id").cast("string")).alias("key"))
+    # a sentence without grams is like no other
+    alike = F.when(F.size("words") > 0, F.col("sig")).otherwise(F.col("id").cast("string")).alias("sig")
+    kept = first_come(signed, own, signed.select("id", "seq", alike, "words"), threshold, vectors=vectors)
+    return rows.join(kept, "id", "left_semi").drop("id", "words")
+
+
+def scope_sentences(articles: DataFrame, newest: int | None = None, per_press: int | None = None, pack: TextPack = KOREAN, min_ratio: float = 0.4) -> DataFrame:
+    """Sentences of each scope's articles with a validity mark; ``newest`` and ``per_press`` narrow them to the newest
+    articles and to few per press. ``pos`` numbers the articles, newest first within their scope."""
     usable = articles.filter(F.col("scope_id").isNotNull() & F.col("content").isNotNull() & F.col("embedding").isNotNull())
     slim = usable.select("scope_id", "article_id", "published_at", F.coalesce(F.nullif("press", F.lit("")), F.lit("unknown")).alias("press"))
     order = [F.desc("published_at"), F.asc("article_id")]
-    # only ids travel through the two cuts; the texts join the survivors
-    cut = top_per(top_per(slim, ["scope_id"], order, newest, "pos"), ["scope_id", "press"], [F.asc("pos")], per_press)
+    # only ids travel through the cuts and the numbering; the texts join the survivors
+    cut = top_per(slim, ["scope_id"], order, newest) if newest else slim
+    cut = top_per(cut, ["scope_id", "press"], order, per_press) if per_press else cut
+    cut = number_rows(cut, [F.asc("scope_id"), *order], "pos")
     texts = cut.select("scope_id", "article_id", "pos").join(usable.select("article_id", "content"), "article_id")
     cleaned = texts.withColumn("body", tx.clean_body("content", pack)).drop("content")
     # posexplode keeps one row for a text without sentences, so its body can serve as the fallback
@@ -130,13 +178,13 @@ def scope_sentences(articles: DataFrame, newest: int = 100, per_press: int = 3,
 
 
 def scope_summaries(articles: DataFrame, scopes: DataFrame, limit: int = 100, copy_threshold: float = ko.SENTENCE_COPY_COSINE,
-                    pack: TextPack = KOREAN, min_ratio: float = 0.4) -> DataFrame:
+                    pack: TextPack = KOREAN, min_ratio: float = 0.4, newest: int | None = None, per_press: int | None = None) -> DataFrame:
     """One sentence per scope (I4): closeness to the mean article vector plus economy and fact scores, minus penalties
-    for keyword overlap, quotes, captions and notices. A scope whose sentences are all unfit gets no summary."""
-    sentences = scope_sentences(articles, pack=pack, min_ratio=min_ratio)
+    for keyword overlap, quotes, captions and notices. A scope whose sentences are all unfit gets no summary.
+    ``newest`` and ``per_press`` as in ``scope_sentences``."""
+    sentences = durable(scope_sentences(articles, newest, per_press, pack, min_ratio))
     valid = sentences.filter("valid").select("scope_id", "article_id", "pos", "spos", "sentence")
-    kept = valid.groupBy("scope_id").applyInPandas(  # at most `newest` articles per group
-        drop_similar(copy_threshold), "scope_id string, article_id string, pos int, spos int, sentence string")
+    kept = durable(distinct_sentences(valid, copy_threshold))
     vectors = articles.select("article_id", F.col("embedding").cast("array<double>").alias("vec"))
     weights = kept.groupBy("scope_id", "article_id").agg(F.count("*").alias("c")).join(vectors, "article_id")
     cells = weights.select("scope_id", "c", F.posexplode("vec").alias("p", "x")).groupBy("scope_id", "p").agg(F.sum(F.col("c") * F.col("x")).alias("x"))
