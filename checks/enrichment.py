@@ -21,7 +21,7 @@ from tidewire.sources import tables as tb
 PAGE_RULES = {"content": ["#dic_area", "article"], "press": ["span.press"], "author": ["article h1"]}
 query("page_articles")(lambda t: pg.extract_articles(t.pages, PAGE_RULES).select("page_id", "url", "content", "press", "author"))
 query("page_headlines", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>.*?<h1>(.*?)</h1>', 1), '\\(.*?\\)', '', 'g')) AS author, 'Unknown' AS press FROM pages WHERE NOT contains(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&')")(
-    lambda t: pg.extract_articles(t.pages.filter(~F.contains(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1), F.lit("&"))), PAGE_RULES).select("page_id", "author", "press"))
+    lambda t: pg.extract_articles(t.pages, PAGE_RULES).select("page_id", "author", "press"))
 query("page_links", """SELECT page_id, split_part(regexp_extract(item, '(?s)^.*<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1), '?', 1) AS link,
  trim(regexp_replace(regexp_extract(item, '(?s)^.*<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 2), '<[^>]*>', '', 'g')) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1)) AS item FROM pages) WHERE contains(item, '<a ')""")(
     lambda t: pg.extract_links(t.pages))

@@ -1,7 +1,9 @@
 """Operators and queries take whole texts and tables."""
 
 import datetime as dt
+import html
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -77,3 +79,12 @@ def test_distinct_sentences_equal_a_pass_in_order(spark):
     got = su.distinct_sentences(df, group_rows=20).select(*names).collect()
     assert 10 < len(want) < len(rows) - 10
     assert sorted(map(tuple, got)) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_page_headlines_equal_a_plain_parser_on_all_pages(spark):
+    pages = duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    found = {key: re.search(r"(?s)<article[^>]*>.*?<h1>(.*?)</h1>", text) for key, text in pages}
+    want = {key: re.sub(r"\(.*?\)", "", html.unescape(m[1] if m else "")).strip(" ") for key, m in found.items()}
+    assert any(m and "&" in m[1] for m in found.values())
+    got = entry.queries()["page_headlines"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["page_id"]: r["author"] for r in got} == want and len(got) == len(pages)
