@@ -87,7 +87,7 @@ query("valid_keywords", f"SELECT w, count(*) AS n, CASE WHEN w IN ('of','de','la
     lambda t: t.documents.select(F.explode(tx.words_of("text")).alias("w")).filter(kw.is_valid_keyword("w", LATIN)).groupBy("w").agg(F.count("*").alias("n")).withColumn("role", kw.word_role("w", LATIN)))
 query("clean_tokens", """SELECT DISTINCT w, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'https?://\\S+', ' ', 'g'), 'www\\.\\S+', ' ', 'g'), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\\.[a-zA-Z]{2,}', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), '') AS cleaned
  FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE regexp_full_match(w, '[a-zA-Z@:/]+')""")(
-    lambda t: t.documents.select(F.explode(tx.words_of("text")).alias("w")).filter(F.col("w").rlike("^[a-zA-Z@:/]+$")).distinct().withColumn("cleaned", tx.clean_token("w")))
+    lambda t: t.documents.select(F.explode(tx.words_of("text")).alias("w")).distinct().withColumn("cleaned", tx.clean_token("w")))
 query("suggestion_words", """SELECT article_id, array_to_string(list_transform(list_filter(string_split_regex(translate(title, '…·', '  '), '\\s+'), lambda w: w <> ''), lambda w: trim(w, '[]()"''‘’“”,.')), '|') AS words FROM articles""")(
     lambda t: t.articles.select("article_id", F.array_join(tx.suggestion_words("title"), "|").alias("words")))
 query("sentiment_labels", """SELECT article_id, CASE WHEN r IN ('positive','긍정') THEN 'positive' WHEN r IN ('negative','부정') THEN 'negative' ELSE 'neutral' END AS label FROM

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from checks.packs import LATIN
 from checks.verify import rows_of
 from checks.views import TABLES
+from tidewire.functions.packs import KOREAN
 from tidewire.operators import models as md
 from tidewire.operators import summaries as su
 
@@ -88,3 +89,16 @@ def test_page_headlines_equal_a_plain_parser_on_all_pages(spark):
     assert any(m and "&" in m[1] for m in found.values())
     got = entry.queries()["page_headlines"](spark, "/root/testdata/sf0.01").collect()
     assert {r["page_id"]: r["author"] for r in got} == want and len(got) == len(pages)
+
+
+def test_clean_tokens_equal_plain_code_on_all_words(spark):
+    texts = duckdb.sql(f"SELECT text FROM '{FOLDER}/documents.parquet'").fetchall()
+    want = {}
+    for word in {w for (text,) in texts for w in re.split(r"\s+", text) if w}:
+        cleaned = word
+        for pattern in KOREAN.token_clean_patterns:
+            cleaned = re.sub(pattern, " ", cleaned)
+        want[word] = " ".join(cleaned.split()) or None
+    assert any(re.search(r"[0-9.,]", w) for w in want)
+    got = entry.queries()["clean_tokens"](spark, FOLDER).collect()
+    assert {r["w"]: r["cleaned"] for r in got} == want and len(got) == len(want)
