@@ -124,6 +124,17 @@ p AS (SELECT *, row_number() OVER (ORDER BY share, mixed, source NULLS FIRST, si
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 16 // total)::INT AS shard, (pos - ((pos * 16 // total) * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM p
 """
 
+CHAT_FORMAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(?:INST|ROLE)\]')) AS n, length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?(?:INST|ROLE)\]')) AS n_role FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE role WHEN 'user' THEN n + 18 WHEN 'assistant' THEN n + 6 ELSE n + n_role + 22 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 ORACLES = {
     "op2_suffix_dedup": SUFFIX_DEDUP,
     "op4_quality_rules": _quality(),
@@ -132,4 +143,5 @@ ORACLES = {
     "op7_url_rules": URL_RULES,
     "op9_decontamination": DECONTAMINATION,
     "op10_interleaved_shards": SHARDS,
+    "op13_chat_format": CHAT_FORMAT,
 }
