@@ -152,6 +152,31 @@ ends AS (SELECT walk.word, here AS root FROM walk JOIN forms ON forms.word = her
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 """
 
+
+def _vector_codes(rounds: int = 2) -> str:
+    """Two rounds of nearest entries and floored means, then the codes."""
+    nearest = "SELECT x.vec, x.part, arg_min({'e': e.entry, 'd': d}, {'d': d, 'e': e.entry}) AS own FROM (SELECT x.vec, x.part, e.entry, list_sum(list_transform(range(1, len(x.p) + 1), lambda i: (x.p[i] - e.p[i]) * (x.p[i] - e.p[i])))::BIGINT AS d FROM parts x JOIN b%d e USING (part)) e JOIN parts x USING (vec, part) GROUP BY ALL"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest % k})")
+        if k < rounds:
+            steps.append(
+                f"m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM (SELECT part, own.e AS entry, i, sum(p[i])::BIGINT AS s, count(*) AS n FROM a{k} JOIN parts USING (vec, part), (SELECT unnest(range(1, (SELECT max(len(p)) FROM parts) + 1)) AS i) GROUP BY ALL) GROUP BY ALL),\n"
+                f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.p, b.p) AS p FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"
+            )
+    joined = ",\n".join(steps)
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS q, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS vec
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec, part, q[part * (len(q) // 16) + 1 : (part + 1) * (len(q) // 16)] AS p FROM kept, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, vec AS entry, p FROM parts WHERE vec < 64),
+{joined},
+books AS (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+codes AS (SELECT vec, string_agg(printf('%02x', own.e), '' ORDER BY part) AS code, sum(own.d)::BIGINT AS error FROM a{rounds} GROUP BY vec)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (vec), books
+"""
+
+
 ORACLES = {
     "op2_suffix_dedup": SUFFIX_DEDUP,
     "op4_quality_rules": _quality(),
@@ -160,6 +185,7 @@ ORACLES = {
     "op7_url_rules": URL_RULES,
     "op9_decontamination": DECONTAMINATION,
     "op10_interleaved_shards": SHARDS,
+    "op11_vector_codes": _vector_codes(),
     "op12_spelling_variants": SPELLING_VARIANTS,
     "op13_chat_format": CHAT_FORMAT,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.oracles import ORACLES  # noqa: F401
+from tidewire.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -133,3 +135,16 @@ def op12_spelling_variants(spark, folder):
     from tidewire.llm.spelling_variants import document_variants
 
     return document_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op11_vector_codes(spark, folder):
+    from tidewire.llm.vector_codes import encode_vectors
+
+    made = encode_vectors(table(spark, folder, "embeddings"), carry=["label"])
+    hexes = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    coded = durable(made.rows.select("vec_id", F.col("rest.label").alias("label"), F.array_join(hexes, "").alias("code"), "error"))
+    by_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    digest = hashlib.sha256(",".join(map(str, made.codebooks.reshape(-1).tolist())).encode()).hexdigest()
+    joined = coded.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
