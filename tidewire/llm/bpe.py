@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from tidewire.llm.blocks import Block, answer, array_of, ask, attach, bucket_count, pack, unpacked, word_hashes
 
 BLOCK_BYTES = 3 << 20
+#: Bytes and words of a block that are worked on at a time.
+SLICE_BYTES = 1 << 18
+SLICE_WORDS = 1 << 16
+BETWEEN = re.compile(rb"[A-Za-z](?= [A-Za-z])")
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
 
 WORDS = "bucket long, block long, sum long, words binary"
@@ -88,8 +94,8 @@ def _settled(block: Block) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions of the starts of all words of all texts (ends are the next starts), and the bounds of each text.
+def split_words(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Byte positions of the starts of all words of all texts; ends are the next starts.
 
     The words of a byte-level vocabulary: English contractions; letters, numbers or others in a row, with one blank
     before them; blanks in a row, without the last before a word. Added tokens are words of their own and end others.
@@ -138,29 +144,70 @@ def split_words(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -
             start[after[(kind[after] == LETTER) & ~edge[after]]] = True
     for a, b in spans:
         start[a + 1 : b] = False
-    words = at[np.flatnonzero(start)]
-    return words, np.searchsorted(words, offsets)
+    return at[np.flatnonzero(start)]
+
+
+def cuts(raw: bytes, offsets: np.ndarray, vocabulary: Vocabulary, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that cut no word: they end with a text, or inside a text before a blank between two
+    letters (unless an added token holds a blank). A text without such a place is one range."""
+    inside = not any(b" " in token for token in vocabulary.special)
+    a = 0
+    while a < len(raw):
+        b = len(raw)
+        if a + most < b:
+            b = int(offsets[np.searchsorted(offsets, a + most)])
+            gap = BETWEEN.search(raw, a + most - 1, b) if inside else None
+            b = gap.end() if gap else b
+        yield a, b
+        a = b
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words that tile the data, from their starts: numbers of the first of each, and for each word the place of its like
+    among those. Words are sorted by hash and compared byte by byte with the first of their hash."""
+    ends = np.append(starts[1:], len(data))
+    sizes = ends - starts
+    _, first, like = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    like = like.reshape(-1)
+    same = (sizes == sizes[first][like]).all()
+    if same:
+        there = np.repeat(starts[first][like] - starts, sizes) + np.arange(len(data))
+        same = (data[there] == data).all()
+    if not same:  # different words of one hash
+        raw, number = data.tobytes(), {}
+        like = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+        _, first = np.unique(like, return_index=True)
+    return first, like
 
 
 class Words:
-    """The words of a block, by distinct word: sorted by bucket, then by bytes."""
+    """The words of a block, by distinct word: sorted by bucket, then by bytes. The block is worked through in slices."""
 
     def __init__(self, block: Block, vocabulary: Vocabulary, n: int):
-        self.data, offsets = _settled(block)
-        starts, self.bounds = split_words(self.data, offsets, vocabulary)
-        ends = np.append(starts[1:], len(self.data))
-        hashes = word_hashes(self.data, starts, ends)
-        distinct, first, self.which = np.unique(hashes, return_index=True, return_inverse=True)
-        self.which = self.which.reshape(-1)
-        buckets = (distinct % np.uint64(n)).astype(np.int64)
-        texts = [self.data[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        order = sorted(range(len(texts)), key=lambda i: (buckets[i], texts[i]))
-        self.words = [texts[i] for i in order]
-        self.hashes, self.buckets = distinct[order], buckets[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.which = place[self.which]
-        self.offsets = offsets
+        data, offsets = _settled(block)
+        raw = data.tobytes()
+        number: dict[bytes, int] = {}
+        which, starts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for a, b in cuts(raw, offsets, vocabulary):
+            texts = offsets[np.searchsorted(offsets, a, side="right") : np.searchsorted(offsets, b)] - a
+            own = split_words(data[a:b], np.concatenate([[0], texts, [b - a]]), vocabulary)
+            first, like = distinct_words(data[a:b], own)
+            begin = (own + a).tolist() + [b]
+            names = [number.setdefault(raw[begin[k] : begin[k + 1]], len(number)) for k in first.tolist()]
+            which.append(np.array(names, dtype=np.int32)[like])
+            starts.append(own + a)
+        words = list(number)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+        buckets = (hashes % np.uint64(n)).astype(np.int64)
+        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(order, dtype=np.int64)[np.argsort(buckets[order], kind="stable")]
+        self.words = [words[i] for i in order.tolist()]
+        self.hashes, self.buckets = hashes[order], buckets[order]
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.which = place[np.concatenate(which)]
+        #: first word of each text, closed by their number
+        self.bounds = np.searchsorted(np.concatenate(starts), offsets)
 
     def parts(self) -> Iterator[tuple[int, int, int, int]]:
         """Bucket, range of words, and a checksum of the range."""
@@ -217,37 +264,45 @@ def _gather(upto: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.cumsum(step), many
 
 
+def _with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, pa.RecordBatch]]:
+    """The blocks one by one, with their answers as they came."""
+    for batch in batches:
+        column = batch.column("told")
+        for i in range(batch.num_rows):
+            answers = pa.RecordBatch.from_struct_array(column.slice(i, 1).flatten())
+            for block in unpacked([batch.slice(i, 1)]):
+                yield block, answers
+
+
 def _finish(path: str, n: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.at(path)
         lengths = np.array([len(p) for p in vocabulary.pieces], dtype=np.int64)
         piece_upto = np.concatenate([[0], np.cumsum(lengths)])
         piece_bytes = np.frombuffer(b"".join(vocabulary.pieces), dtype=np.uint8)
-        for block in unpacked(batches, "told"):
+        for block, told in _with_answers(batches):
             words = Words(block, vocabulary, n)
-            told = {got["bucket"]: got for got in block.answers[0]}
+            line_of = {bucket: k for k, bucket in enumerate(told.column("bucket").to_pylist())}
             all_ids, all_counts = [], []
             for bucket, a, b, total in words.parts():
-                got = told.get(bucket)
-                if got is None or got["sum"] != total:  # the question was another one: encode here
+                line = line_of.get(bucket)
+                if line is None or told.column("sum")[line].as_py() != total:  # the question was another one: encode here
                     ids, counts = vocabulary.encode(words.words[a:b])
                 else:
-                    raw = zstandard.ZstdDecompressor().decompress(got["ids"])
+                    raw = zstandard.ZstdDecompressor().decompress(told.column("ids")[line].as_buffer())
                     counts, ids = array_of(raw[: 4 * (b - a)], np.uint32), array_of(raw[4 * (b - a) :], vocabulary.kind)
                 all_ids.append(ids)
                 all_counts.append(counts)
-            ids = np.concatenate([*all_ids, np.zeros(0, dtype=vocabulary.kind)]).astype(np.int64)
+            ids = np.concatenate([*all_ids, np.zeros(0, dtype=vocabulary.kind)])
             upto = np.concatenate([[0], np.cumsum(np.concatenate([*all_counts, np.zeros(0, dtype=np.uint32)]), dtype=np.int64)])
-            line, many = _gather(upto, words.which)
-            tokens = ids[line]
-            token_upto = np.concatenate([[0], np.cumsum(many)])[words.bounds]
-            # the join with the pieces, for each distinct word; then words by position
-            piece, sizes = _gather(piece_upto, ids)
+            # the join with the pieces, for each distinct word
+            piece, sizes = _gather(piece_upto, ids.astype(np.int64))
             word_bytes = piece_bytes[piece]
             word_upto = np.concatenate([[0], np.cumsum(sizes)])[upto]
-            line, many = _gather(word_upto, words.which)
-            text_upto = np.concatenate([[0], np.cumsum(many)])[words.bounds]
-            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(text_upto.astype(np.int64).tobytes()), pa.py_buffer(word_bytes[line].tobytes())])
+            # words by position
+            tokens, token_upto = _by_position(ids, upto, words)
+            decoded, text_upto = _by_position(word_bytes, word_upto, words)
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(text_upto), pa.py_buffer(decoded)])
             columns = [
                 pa.array(block.id_list, pa.int64()), pa.array(np.diff(token_upto), pa.int64()),
                 pa.ListArray.from_arrays(pa.array(token_upto.astype(np.int32)), pa.array(tokens.astype(np.int32))), decoded.cast(pa.large_string()).cast(pa.string()),
@@ -257,6 +312,17 @@ def _finish(path: str, n: int, schema: pa.Schema):
     return run
 
 
+def _by_position(items: np.ndarray, upto: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all words in the order of the texts, and where each text's begin."""
+    many = upto[1:] - upto[:-1]
+    sizes = np.concatenate([[0], np.cumsum(many[words.which])])
+    out = np.empty(int(sizes[-1]), dtype=items.dtype)
+    for a in range(0, len(words.which), SLICE_WORDS):
+        b = min(a + SLICE_WORDS, len(words.which))
+        out[sizes[a] : sizes[b]] = items[_gather(upto, words.which[a:b])[0]]
+    return out, sizes[words.bounds].astype(np.int64)
+
+
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids, decoded``.
 
