@@ -106,3 +106,38 @@ def test_suffix_sort(spark):
         a, b = texts[order[k - 1]].tobytes(), texts[order[k]].tobytes()
         same = next((j for j in range(20) if a[j] != b[j]), 20)
         assert common[k] == (same if group[order[k - 1]] == group[order[k]] else -1)
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """The two words have equal polynomial hashes modulo 2 ** 64, whatever base and letter values."""
+    import public_tokenizers
+
+    from tidewire.llm.bpe import Vocabulary, encode
+
+    u = thue_morse(1024)
+    v = u.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one {u} two three four five"), (2, f"one {v} two three four five"), (3, " ".join([u] + [f"w{k}" for k in range(60)])), (4, " ".join([v] + [f"w{k}" for k in range(49)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    library = Vocabulary.at(public_tokenizers.path("byte_bpe_50k.json")).library
+    got = {r.doc_id: (r.ids, r.decoded) for r in encode(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert got == {i: (library.encode(t).ids, t) for i, t in rows}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_removed for r in remove_passages(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from tidewire.llm import bpe
+
+    monkeypatch.setattr(bpe, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    data = np.frombuffer(b"onetwotwoonefour", dtype=np.uint8)
+    first, like = bpe.distinct_words(data, np.array([0, 3, 6, 9, 12]))
+    assert first.tolist() == [0, 1, 4] and like.tolist() == [0, 1, 1, 0, 2]

@@ -76,13 +76,19 @@ def gram_hash(sums: np.ndarray, k: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 19) -> np.ndarray:
-    """Hashes of byte ranges in rising order, over bounded pieces of the data."""
+    """Hashes of byte ranges in rising order, over bounded pieces of the data: sums of a random-looking value for each byte
+    and its place in the range. Unlike a polynomial modulo 2 ** 64, whose values agree for whole families of long words
+    whatever its base, such sums agree by chance only."""
     out = np.empty(len(starts), dtype=np.uint64)
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + step)))
         base, end = starts[a], ends[b - 1]
-        out[a:b] = range_hash(prefix_sums(BYTE_VALUES[data[base:end]]), starts[a:b] - base, ends[a:b] - base)
+        sizes = np.append(starts[a + 1 : b], end) - starts[a:b]  # up to the next range, what lies between included
+        place = np.arange(end - base) - np.repeat(starts[a:b] - base, sizes)
+        sums = np.zeros(end - base + 1, dtype=np.uint64)
+        np.cumsum(mix(BYTE_VALUES[data[base:end]] + place.astype(np.uint64) * np.uint64(BASE)), out=sums[1:])
+        out[a:b] = mix(sums[ends[a:b] - base] - sums[starts[a:b] - base])
         a = b
     return out
 
