@@ -102,12 +102,25 @@ EMB = "SELECT a.article_id, a.collected_at, a.published_at, a.press, a.scope_id,
 OLD = "SELECT 'OLD_' || CAST(label AS STRING) AS scope_id, embedding AS centroid, 28 AS news_count FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn FROM embeddings) e WHERE rn = 1"
 
 
-def assigned(t, batch):
-    return sp.assign_scopes(t.sql(EMB), t.sql(OLD), "20240131", 0.35, 3, 30, 64, batch)
-
-
-query("scope_assignment")(lambda t: assigned(t, 10_000)[0])
-query("scope_assignment_changed")(lambda t: assigned(t, 10_000)[1].select("scope_id", "news_count", F.round(F.get("centroid", 0), 5).alias("first")))
+def assigned(t, block=2048):
+    return sp.assign_scopes(t.sql(EMB), t.sql(OLD), "20240131", 0.35, 3, 30, 64, block)
+
+
+# sequential assignment in SQL: articles in order, each with its similar scopes and possible leaders, nearest first; the list of homes so far says who leads and how full a scope is
+UNIT = "list_transform({0}::DOUBLE[], lambda x: x / sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])))"
+SCOPED = f"""WITH RECURSIVE emb AS MATERIALIZED (SELECT article_id, row_number() OVER (ORDER BY collected_at, article_id) AS seq, {UNIT.format('embedding')} AS v FROM ({EMB})), old AS MATERIALIZED (SELECT scope_id, {UNIT.format('centroid')} AS v, news_count FROM ({OLD})),
+ cand AS (SELECT e.seq, 0 AS place, scope_id AS scope, news_count AS had, round(list_dot_product(e.v, o.v), 9) AS sim FROM emb e JOIN old o ON round(list_dot_product(e.v, o.v), 9) >= 0.35
+  UNION ALL SELECT e.seq, b.seq, 'new:' || b.article_id, 0, round(list_dot_product(e.v, b.v), 9) FROM emb e JOIN emb b ON b.seq < e.seq AND round(list_dot_product(e.v, b.v), 9) >= 0.35),
+ opts AS (SELECT seq, list(struct_pack(place := place, scope := scope, had := had) ORDER BY -sim, place, scope) AS opts FROM cand GROUP BY seq), near AS MATERIALIZED (SELECT seq, article_id, coalesce(opts, []) AS opts FROM emb LEFT JOIN opts USING (seq)),
+ walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS homes UNION ALL SELECT i + 1, list_append(homes, coalesce(list_filter(list_filter(opts, lambda o: o.place = 0 OR homes[o.place] = o.scope)[1:3], lambda o: o.had + len(list_filter(homes, lambda h: h = o.scope)) < 30)[1].scope, 'new:' || article_id)) FROM walk JOIN near ON seq = i + 1),
+ home AS MATERIALIZED (SELECT seq, article_id, v, homes[seq] AS scope FROM emb, (SELECT homes FROM walk ORDER BY i DESC LIMIT 1)), fresh AS (SELECT scope, '20240131-' || lpad(CAST(row_number() OVER (ORDER BY seq) AS VARCHAR), 4, '0') AS new_id FROM home WHERE scope = 'new:' || article_id),
+ named AS MATERIALIZED (SELECT article_id, v, coalesce(new_id, scope) AS scope_id FROM home LEFT JOIN fresh USING (scope))"""
+query("scope_assignment", f"{SCOPED} SELECT article_id, scope_id FROM named")(lambda t: assigned(t)[0])
+# the whole centroid, in steps of a thousandth
+query("scope_assignment_changed", f"""{SCOPED}, parts AS (SELECT scope_id, v, 1 AS n FROM named UNION ALL SELECT scope_id, list_transform(v, lambda x: x * news_count), news_count FROM old WHERE scope_id IN (SELECT scope_id FROM named)),
+ sums AS (SELECT scope_id, list(s ORDER BY i) AS s FROM (SELECT scope_id, i, sum(v[i]) AS s FROM parts, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1)
+ SELECT scope_id, CAST(sum(n) AS BIGINT) AS news_count, array_to_string(list_transform(any_value({UNIT.format('s')}), lambda x: CAST(floor(x * 1000 + 0.5) AS BIGINT)), ',') AS centroid FROM parts JOIN sums USING (scope_id) GROUP BY scope_id""")(
+    lambda t: assigned(t)[1].select("scope_id", "news_count", F.array_join(F.transform("centroid", lambda x: F.floor(x * 1000 + 0.5).cast("string")), ",").alias("centroid")))
 query("textrank_summaries")(lambda t: su.textrank_summary(t.documents.select("doc_id", "text"), pack=LATIN))
 query("scope_summaries")(lambda t: su.scope_summaries(t.sql(EMB), t.scopes, pack=LATIN))
 

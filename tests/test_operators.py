@@ -185,8 +185,8 @@ def test_scope_assignment_equals_a_sequential_pass(spark):
                                  "article_id string, collected_at timestamp, embedding array<double>")
     scopes = spark.createDataFrame([(s, [float(x) for x in v], n) for s, v, n in old], "scope_id string, centroid array<double>, news_count bigint")
     home, count = plain_scopes(m[:100], old, 0.6, 3, 5)
-    for batch in (1000, 30):
-        got, changed = assign_scopes(arts, scopes, "20240131", 0.6, 3, 5, 6, batch)
+    for block in (2048, 15):
+        got, changed = assign_scopes(arts, scopes, "20240131", 0.6, 3, 5, 6, block)
         rows = {r["article_id"]: r["scope_id"] for r in got.collect()}
         assert rows.pop("BAD") == "__no_embedding__"
         assert [rows[f"A{i:03d}"] for i in range(100)] == home
@@ -194,6 +194,39 @@ def test_scope_assignment_equals_a_sequential_pass(spark):
         assert sizes == {s: n for s, n in count.items() if s in set(home)}
 
 
+def test_scope_assignment_of_one_crowd_and_of_nothing(spark):
+    """A third of all articles are one vector: they fill scope after scope, whatever Arrow batches they come in."""
+    m = unit_rows(60, 6, 3)
+    vectors = [m[0] if i % 3 == 0 else m[i] for i in range(60)]
+    start = dt.datetime(2024, 1, 31)
+    arts = spark.createDataFrame([(f"A{i:03d}", start + dt.timedelta(minutes=i), [float(x) for x in v]) for i, v in enumerate(vectors)], "article_id string, collected_at timestamp, embedding array<double>")
+    none = spark.createDataFrame([], "scope_id string, centroid array<double>, news_count bigint")
+    home, count = plain_scopes(vectors, [], 0.7, 3, 4)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got, changed = assign_scopes(arts, none, "20240131", 0.7, 3, 4, 6)
+            assert {r["article_id"]: r["scope_id"] for r in got.collect()} == {f"A{i:03d}": h for i, h in enumerate(home)}
+            assert {r["scope_id"]: r["news_count"] for r in changed.collect()} == count
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    got, changed = assign_scopes(arts.limit(0), none, "20240131")
+    assert got.collect() == [] and changed.collect() == []
+
+
+def test_linked_groups_are_the_components_of_all_pairs(spark):
+    m = unit_rows(90, 5, 4)
+    df = spark.createDataFrame([(f"n{i:02d}", [float(x) for x in v]) for i, v in enumerate(m)], "id string, vec array<double>")
+    close = m @ m.T >= 0.9
+    for block in (2048, 8):
+        got = {r["node"]: r["component"] for r in sm.linked_groups(df, df, 0.9, block).collect()}
+        least = list(range(90))
+        for _ in range(90):
+            least = [min(least[j] for j in np.flatnonzero(close[i])) for i in range(90)]
+        assert {f"n{i:02d}": f"n{least[i]:02d}" for i in range(90) if close[i].sum() > 1} == got
+
+
 def test_summary_kernels():
     sentences = ["금리 인상이 물가 안정에 도움을 준다", "금리 인상이 물가 안정에 도움을 줄 것이다", "전혀 다른 스포츠 소식이다", "물가 안정과 금리 인상"]
     m = su.Grams(sentences)
