@@ -304,5 +304,19 @@ def test_lexicon_of_fifty_thousand_words(spark):
     words = sorted({"".join(rng.choices("abcdefg", k=rng.randint(1, 8))) for _ in range(60000)})[:50000]
     texts = [(i, " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(40))) for i in range(20)] + [(98, ""), (99, None)]
     lexicon = spark.createDataFrame([(w, "positive", 1.0) for w in words], "keyword string, sentiment string, weight double")
-    got = {(r["doc_id"], r["keyword"]): r["hits"] for r in lexicon_hits(spark.createDataFrame(texts, "doc_id int, text string"), lexicon).collect()}
-    assert got == {(i, w): t.count(w) for i, t in texts if t for w in words if w in t}
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    want = {(i, w): t.count(w) for i, t in texts if t for w in words if w in t}
+    for part in (16 << 20, 1 << 20):
+        found = lexicon_hits(docs, lexicon, part_bytes=part).collect()
+        assert {(r["doc_id"], r["keyword"]): r["hits"] for r in found} == want and len(found) == len(want)
+
+
+def test_lexicon_rows_of_one_word_overlaps_and_nothing(spark):
+    from tidewire.operators.joins import lexicon_hits
+
+    lexicon = spark.createDataFrame([("aa", "positive", 1.0), ("aa", "negative", 2.0), ("a", None, None), ("금리", "positive", 0.5), ("", "x", 1.0), (None, "y", 1.0)], "keyword string, sentiment string, weight double")
+    docs = spark.createDataFrame([("d1", "aaaaa 금리금리"), ("d1", "a"), (None, "aa"), ("d2", None)], "doc_id string, text string")
+    got = sorted((tuple(r) for r in lexicon_hits(docs, lexicon).collect()), key=str)
+    assert got == sorted([("d1", "aa", "positive", 1.0, 2), ("d1", "aa", "negative", 2.0, 2), ("d1", "a", None, None, 5), ("d1", "금리", "positive", 0.5, 2), ("d1", "a", None, None, 1),
+                          (None, "aa", "positive", 1.0, 1), (None, "aa", "negative", 2.0, 1), (None, "a", None, None, 2)], key=str)
+    assert lexicon_hits(docs, lexicon.limit(0)).collect() == [] and lexicon_hits(docs.limit(0), lexicon).collect() == []

@@ -3,11 +3,16 @@ sides whose size is fixed (one row, k rows) or was counted first."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.filters import enabled, kw_contains, log_filter, on_days, phrase, user_search
 from tidewire.operators.ranking import top_per
+from tidewire.session import durable
 
 
 def reaction_sums(reactions: DataFrame, keys: list) -> DataFrame:
@@ -95,29 +100,79 @@ def latest_correction(log: DataFrame) -> DataFrame:
     return log.groupBy("article_id").agg(row).select("article_id", "_row.*")
 
 
-def lexicon_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Every lexicon word that occurs in a text, with its non-overlapping count (C14). ``key`` names a text.
-
-    A word stands in an index under the one of its two-character grams that fewest words have (a one-character word
-    under itself). Texts meet the index through their distinct grams, and only words found there are looked for in the
-    text itself, so lexicons and corpora of any size take the same plan.
+#: Bytes of lexicon words that one pass over the texts looks for.
+LEXICON_PART = 16 << 20
+_automata: dict = {}
+
+
+def _automaton(name: str, lexicon: pa.Table):
+    """The automaton of a named lexicon part, built once per Python worker: each distinct word with its rows."""
+    import ahocorasick
+
+    if name not in _automata:
+        _automata.clear()
+        rows: dict[str, list[int]] = {}
+        for i, word in enumerate(lexicon.column("keyword").to_pylist()):
+            rows.setdefault(word, []).append(i)
+        made = ahocorasick.Automaton()
+        for word, lines in rows.items():
+            made.add_word(word, (len(word), lines))
+        made.make_automaton()
+        _automata[name] = made
+    return _automata[name]
+
+
+def _found_words(name: str, part):
+    """Rows (key, lexicon row, hits) of a batch of texts, each text read once from left to right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = part.value
+        if not lexicon.num_rows:
+            return
+        automaton = _automaton(name, lexicon)
+        for batch in batches:
+            texts, lines, hits = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found: dict[int, list] = {}  # by a word's first row: hits, end of the last one, rows
+                for last, (size, rows) in automaton.iter(text or ""):
+                    seen = found.setdefault(rows[0], [0, 0, rows])
+                    if last - size + 1 >= seen[1]:
+                        seen[0] += 1
+                        seen[1] = last + 1
+                for n, _, rows in found.values():
+                    texts += [i] * len(rows)
+                    lines += rows
+                    hits += [n] * len(rows)
+            chosen = lexicon.take(pa.array(lines, pa.int64())).combine_chunks()
+            columns = [batch.column(0).take(pa.array(texts, pa.int64())), *[chosen.column(c).combine_chunks() for c in range(3)], pa.array(hits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "keyword", "sentiment", "weight", "hits"])
+
+    return run
+
+
+def lexicon_hits(docs: DataFrame, lexicon: DataFrame, text: str = "text", key: str = "doc_id", part_bytes: int = LEXICON_PART) -> DataFrame:
+    """Every lexicon row whose word occurs in a text, with the word's non-overlapping count (C14). ``key`` names a text.
+
+    The words stand in one automaton that reads each text once, inside the task that has read it: texts are neither
+    shuffled nor taken apart. A lexicon above ``part_bytes`` is cut by hash into parts of about that size, and each part
+    is a pass of its own; so what reaches the driver and every worker at once is bounded, whatever the lexicon's size.
+    Null texts have no hits, words that are null or empty are never found, equal words of several rows give a row each.
     """
     words = lexicon.filter(F.coalesce("keyword", F.lit("")) != "").select("keyword", "sentiment", "weight")
-    own = words.select("keyword", F.explode(_grams("keyword")).alias("gram")).distinct()
-    own = own.filter((F.length("gram") == 2) | (F.length("keyword") == 1))
-    common = own.groupBy("gram").agg(F.count("*").alias("n"))
-    index = own.join(common, "gram").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    likely = docs.select(key, F.explode(_grams(text)).alias("gram")).join(index, "gram").select(key, "keyword").distinct()
-    found = likely.join(docs.select(key, text), key).filter(F.contains(F.col(text), F.col("keyword"))).join(words, "keyword")
-    count = (F.length(text) - F.length(F.replace(F.col(text), F.col("keyword"), F.lit("")))) / F.length("keyword")
-    return found.select(key, "keyword", "sentiment", "weight", count.cast("bigint").alias("hits"))
-
-
-def _grams(text: str):
-    """Distinct runs of one and of two characters."""
-    chars = F.split(F.coalesce(F.col(text), F.lit("")), "")
-    pairs = F.transform(F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.length(text) + 1).alias("b")), lambda x: F.concat(x["a"], x["b"]))
-    return F.array_distinct(F.concat(chars, F.filter(pairs, lambda x: x.isNotNull())))
+    spark = docs.sparkSession
+    size = words.agg(F.sum(F.octet_length("keyword") + 64)).first()[0] or 0
+    parts = max(1, -(-int(size) // part_bytes))
+    if parts > 1:
+        words = durable(words)
+    texts = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+    schema = f"`{key}` {texts.schema[0].dataType.simpleString()}, keyword string, sentiment {kinds['sentiment']}, weight {kinds['weight']}, hits bigint"
+    out = None
+    for p in range(parts):
+        mine = words if parts == 1 else words.filter(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == p)
+        found = texts.mapInArrow(_found_words(uuid.uuid4().hex, spark.sparkContext.broadcast(mine.toArrow())), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def related(articles: DataFrame) -> DataFrame:
