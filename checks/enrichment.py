@@ -20,7 +20,8 @@ from tidewire.sources import tables as tb
 
 PAGE_RULES = {"content": ["#dic_area", "article"], "press": ["span.press"], "author": ["article h1"]}
 query("page_articles")(lambda t: pg.extract_articles(t.pages, PAGE_RULES).select("page_id", "url", "content", "press", "author"))
-query("page_headlines", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>.*?<h1>(.*?)</h1>', 1), '\\(.*?\\)', '', 'g')) AS author, 'Unknown' AS press FROM pages WHERE NOT contains(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&')")(
+DECODED = "regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;?', '&', 'g')"
+query("page_headlines", "SELECT page_id, trim(regexp_replace(" + DECODED.format("regexp_extract(html, '(?s)<article[^>]*>.*?<h1>(.*?)</h1>', 1)") + ", '\\(.*?\\)', '', 'g')) AS author, 'Unknown' AS press FROM pages")(
     lambda t: pg.extract_articles(t.pages, PAGE_RULES).select("page_id", "author", "press"))
 query("page_links", """SELECT page_id, split_part(regexp_extract(item, '(?s)^.*<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1), '?', 1) AS link,
  trim(regexp_replace(regexp_extract(item, '(?s)^.*<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 2), '<[^>]*>', '', 'g')) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li\\b[^>]*>(.*?)</li>', 1)) AS item FROM pages) WHERE contains(item, '<a ')""")(
@@ -172,7 +173,7 @@ def binary(t):
 
 query("binary_model_scores")(lambda t: binary(t).select("article_id", "label", "prediction"))
 query("binary_model_report")(lambda t: md.binary_report(binary(t)))
-query("binary_training_rows", f"""SELECT article_id, label, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT article_id, CASE WHEN sentiment = 'positive' THEN 1 ELSE 0 END AS label, {{0}} || ' ' || {{0}} || ' ' || substr({{1}}, 1, 2000) AS text FROM articles WHERE sentiment IN ('positive','neutral'))""".format(
+query("binary_training_rows", f"""SELECT article_id, label, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM (SELECT article_id, CASE WHEN sentiment = 'positive' THEN 1 ELSE 0 END AS label, {{0}} || ' ' || {{0}} || ' ' || {{1}} AS text FROM articles WHERE sentiment IN ('positive','neutral'))""".format(
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\\s+', ' ', 'g'), '\\[[^\\]]*\\]|\\([^)]*\\)|#\\S+', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')",
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '\\s+', ' ', 'g'), '\\[[^\\]]*\\]|\\([^)]*\\)|#\\S+', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"))(
     lambda t: md.training_rows(t.sql("SELECT article_id, title, content AS clean_text, CASE WHEN sentiment = 'positive' THEN 'yes' WHEN sentiment = 'neutral' THEN 'no' END AS label FROM articles")))

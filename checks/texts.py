@@ -85,8 +85,13 @@ VALID_KW = f"""length(w) >= 2 AND NOT regexp_matches(w, '[0-9]') AND regexp_matc
  AND (NOT regexp_full_match(w, '[A-Za-zß-ÿ]{{1,2}}') OR w IN ('re','on','an')) AND (regexp_full_match(w, '[a-zA-Z]+') OR NOT regexp_matches(w, '[éèê]$'))"""
 query("valid_keywords", f"SELECT w, count(*) AS n, CASE WHEN w IN ('of','de','la') THEN 0 WHEN w IN ('on','en') THEN 1 WHEN w IN ('er','re') THEN 3 ELSE 2 END AS role FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE {VALID_KW} GROUP BY 1")(
     lambda t: t.documents.select(F.explode(tx.words_of("text")).alias("w")).filter(kw.is_valid_keyword("w", LATIN)).groupBy("w").agg(F.count("*").alias("n")).withColumn("role", kw.word_role("w", LATIN)))
-query("clean_tokens", """SELECT DISTINCT w, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'https?://\\S+', ' ', 'g'), 'www\\.\\S+', ' ', 'g'), '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\\.[a-zA-Z]{2,}', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), '') AS cleaned
- FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents) WHERE regexp_full_match(w, '[a-zA-Z@:/]+')""")(
+# DuckDB's patterns know blanks and word characters of ASCII only: others are spelled out, and stand between underscores while word borders count
+SPACE, WORD, WIDE = r"\s\x0b\x1c-\x1f\x85\p{Z}", r"\p{L}\p{M}\p{N}_", r"([\x{AA}\x{B2}\x{B3}\x{B5}\x{B9}\x{BA}\x{BC}-\x{BE}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{1FFF}\x{3040}-\x{D7FF}])"
+CLEANED = "w"
+for find, put in [(r"https?://\S+", " "), (r"ftp://\S+", " "), (r"www\.\S+", " "), (rf"[{WORD}.+-]+@[{WORD}-]+\.[a-zA-Z]{{2,}}", " "), (WIDE, r"_\1_"), (r"\b[a-zA-Z0-9-]+\.[a-zA-Z]{2,6}\b", " "), (r"\b[\d,.\-]+\b", " "),
+                  (rf"_{WIDE}_", r"\1"), (rf"[^{WORD} ]", " "), (" +", " "), ("^ | $", "")]:
+    CLEANED = f"regexp_replace({CLEANED}, '{find}', '{put}', 'g')"
+query("clean_tokens", f"WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[{SPACE}]+')) AS w FROM documents) SELECT w, nullif({CLEANED}, '') AS cleaned FROM w WHERE w <> ''")(
     lambda t: t.documents.select(F.explode(tx.words_of("text")).alias("w")).distinct().withColumn("cleaned", tx.clean_token("w")))
 query("suggestion_words", """SELECT article_id, array_to_string(list_transform(list_filter(string_split_regex(translate(title, '…·', '  '), '\\s+'), lambda w: w <> ''), lambda w: trim(w, '[]()"''‘’“”,.')), '|') AS words FROM articles""")(
     lambda t: t.articles.select("article_id", F.array_join(tx.suggestion_words("title"), "|").alias("words")))
