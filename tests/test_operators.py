@@ -67,7 +67,7 @@ def test_sessions_and_fill_over_slices(spark):
     for i, _, _, result, at in sorted(rows, key=lambda r: r[4]):
         seen = i if result == "success" else seen
         filled[i] = seen
-    assert {r["log_id"]: r["price_filled"] for r in iv.fill_last(prices, "price", "created_at", "log_id", slice_seconds=300).collect()} == filled
+    assert {r["log_id"]: r["price_filled"] for r in iv.fill_last(prices, "price", "created_at", "log_id").collect()} == filled
 
 
 def unit_rows(n, dim, seed):
@@ -77,6 +77,50 @@ def unit_rows(n, dim, seed):
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def test_fills_within_keys_that_span_many_ranges(spark):
+    rng = random.Random(5)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None, f"k{i % 40}"]), rng.choice([None, None, None, i]), at + dt.timedelta(seconds=rng.randrange(60))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, k string, v int, at timestamp").repartition(9)
+    last, want, before = {}, {}, {}
+    for i, k, v, when in sorted(rows, key=lambda r: (r[3], r[0])):
+        before[i] = last.get(k)
+        last[k] = v if v is not None else last.get(k)
+        want[i] = last[k]
+    assert {r["id"]: r["v_filled"] for r in iv.fill_last(df, "v", "at", "id", ["k"]).collect()} == want
+    assert {r["id"]: r["w"] for r in iv.carry_last(df, ["k"], ["at", "id"], "v", "w", before_only=True).collect()} == before
+    sizes = sorted(r["count"] for r in iv.ranged(df, ["at", "id"]).groupBy("_range").count().collect())
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]  # one minute holds all rows
+
+
+def test_asof_jobs_of_one_crowded_hour(spark):
+    rng = random.Random(6)
+    at = dt.datetime(2024, 1, 1, 5)
+    when = lambda: at + dt.timedelta(seconds=rng.randrange(3600))
+    logs = [(i, when() if i % 50 else None) for i in range(2000)] + [(5000, at - dt.timedelta(days=900)), (5001, at + dt.timedelta(days=900))] + [(7, at)] * 2
+    jobs = [(j, when()) for j in range(300)] + [(900, at), (901, at), (902, None)]
+    got = iv.asof_job(spark.createDataFrame(logs, "history_id int, occurred_at timestamp"), spark.createDataFrame(jobs, "job_id int, start_at timestamp")).collect()
+    want = [(i, t, max(((s, j) for j, s in jobs if s is not None and t is not None and s <= t), default=(None, None))[1]) for i, t in logs]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_job_stats_of_thousands_of_overlapping_jobs(spark):
+    rng = random.Random(7)
+    at = dt.datetime(2024, 1, 1)
+    when = lambda: at + dt.timedelta(seconds=rng.randrange(86_400) // 60 * 60)
+    seen = [("hot" if i % 3 == 0 else f"a{rng.randrange(300)}", when()) for i in range(3000)] + [(None, at), ("n", None)]
+    jobs = [(j, *sorted((when(), when()))) for j in range(5000)] + [(9000, at + dt.timedelta(hours=9), at), (9001, None, at), (9002, at, None), (9003, at, at)]
+    bad = {"hot", "a1", "a2", "a7"}
+    stats = iv.job_stats(spark.createDataFrame(jobs, "job_id int, start_at timestamp, end_at timestamp"), spark.createDataFrame(seen, "article_id string, created_at timestamp"),
+                         spark.createDataFrame([(b,) for b in bad] * 2, "article_id string"))
+    got = {r["job_id"]: (r["total_count"], r["fail_count"]) for r in stats.collect()}
+    assert len(got) == len(jobs)
+    times = [(a, t) for a, t in seen if a is not None and t is not None]
+    for j, s, e in [*jobs[:200], *jobs[5000:]]:
+        inside = {a for a, t in times if s is not None and e is not None and s <= t <= e}
+        assert got[j] == (len(inside), len(inside & bad)), j
+
+
 def test_knn_join_equals_all_pairs(spark):
     m = unit_rows(150, 8, 1)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id bigint, vec array<double>")
