@@ -58,7 +58,7 @@ def tidy(c):
 
 
 query("model_texts", f"SELECT article_id, {stripped(tidy('title') + ' || $$ $$ || ' + tidy('title') + ' || $$ $$ || ' + tidy('content'))} AS text FROM articles")(
-    lambda t: t.articles.select("article_id", tx.model_text("title", "content", 1_000_000).alias("text")))
+    lambda t: t.articles.select("article_id", tx.model_text("title", "content").alias("text")))
 query("trimmed_titles", """SELECT article_id, CASE WHEN length(title) <= 70 THEN title ELSE coalesce(nullif(regexp_extract(substr(title,1,70), '(?s)^(.*[aeiou])', 1), ''), substr(title,1,70)) || '…' END AS trimmed FROM articles""")(
     lambda t: t.articles.select("article_id", tx.natural_trim("title", 70, LATIN).alias("trimmed")))
 query("article_sentences")(lambda t: t.articles.select("article_id", F.posexplode(tx.split_sentences("content", 15, LATIN)).alias("pos", "sentence")))

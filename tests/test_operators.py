@@ -339,6 +339,10 @@ def test_patch_with_two_rows_of_a_key(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "k int, v string")
     assert sorted(tuple(r) for r in tb.patch(target, rows, ["k"], ["v"]).collect()) == [(1, "y"), (2, "b")]
+    two = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int")
+    rows = spark.createDataFrame([(1, "z", 5, 1), (1, "c", None, 2), (1, None, 4, 3)], "k int, v string, w int, at int")
+    assert sorted(tuple(r) for r in tb.patch(two, rows, ["k"], ["v", "w"]).collect()) == [(1, "z", 5), (2, "b", 2)]  # one row, whole
+    assert sorted(tuple(r) for r in tb.patch(two, rows, ["k"], ["v", "w"], "at").collect()) == [(1, "c", 4), (2, "b", 2)]  # one after another
 
 
 def test_lexicon_of_fifty_thousand_words(spark):

@@ -39,6 +39,17 @@ def test_training_rows_keep_the_whole_body(spark):
     assert md.training_rows(df, body_limit=2000).first()["text"] == ("title title " + body[:2000]).strip()
 
 
+def test_training_rows_of_repeated_articles(spark, monkeypatch):
+    rows = [("a", 2, "t", "later", "yes"), ("a", 1, "", "", "yes"), ("a", 3, "t", "latest", "no"), ("b", 1, "t", "one", "no"), ("c", 1, "t", "x", None), (None, 2, "t", "second", "yes"), (None, 1, "t", "first", "yes")]
+    df = spark.createDataFrame(rows, "article_id string, seq int, title string, clean_text string, label string")
+    want = [(None, "t t first", 1), ("a", "t t later", 1), ("b", "t t one", 0)]
+    for few in (100, 0):
+        monkeypatch.setattr(md, "FEW_IDS", few)
+        got = md.training_rows(df, seq="seq").select("article_id", "text", "label").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert md.training_rows(df.filter("article_id = 'b'")).count() == 1 and md.training_rows(df.limit(0)).collect() == []
+
+
 def test_widened_queries_equal_their_sql(spark):
     for name in ("binary_training_rows", "clean_tokens", "page_headlines"):
         assert spark_rows(spark, name) == duck_rows(entry.oracle_sql()[name]), name

@@ -78,11 +78,25 @@ def finetune_set(corrections: DataFrame, articles: DataFrame, per_label: int = 1
     return fresh.unionByName(model)
 
 
+#: Repeated ids that may be sent to every task; more of them meet the rows in a shuffle.
+FEW_IDS = 100_000
+
+
 def training_rows(df: DataFrame, label: str = "label", seq: str = "article_id", body_limit: int | None = None) -> DataFrame:
-    """article_id, model text and 0/1 label; unlabelled rows and repeated articles leave. ``body_limit`` as in ``model_text``."""
+    """article_id, model text and 0/1 label; unlabelled rows and repeated articles leave. ``body_limit`` as in ``model_text``.
+
+    Ids come first: those that occur more than once are found without any text, and only their rows are compared. All
+    other texts stay in the task that reads them."""
+    many = durable(df.groupBy("article_id").agg(F.count("*").alias("n")).filter("n > 1").select("article_id"))
+    n = many.count()
     rows = df.select("article_id", F.col(seq).alias("_seq"), model_text("title", "clean_text", body_limit).alias("text"), binary_label(label).alias("label"))
     rows = rows.filter(F.col("label").isNotNull() & (F.col("text") != ""))
-    return keep_first(rows, ["article_id"], "_seq").drop("_seq")
+    if n == 0:
+        return rows.drop("_seq")
+    marked = many.select(F.col("article_id").alias("_id"))
+    marked = F.broadcast(marked) if n <= FEW_IDS else marked
+    same = F.col("article_id").eqNullSafe(F.col("_id"))
+    return rows.join(marked, same, "left_anti").drop("_seq").unionByName(keep_first(rows.join(marked, same, "left_semi"), ["article_id"], "_seq").drop("_seq"))
 
 
 def stratified_split(rows: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:

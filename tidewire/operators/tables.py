@@ -25,11 +25,18 @@ def upsert_counts(target: DataFrame, rows: DataFrame, key: list, seq: str) -> Da
     )
 
 
-def patch(target: DataFrame, rows: DataFrame, key: list, columns: list) -> DataFrame:
-    """Set some columns by key and leave the others (A6); a NULL in the patch leaves the old value. Of several patch rows
-    of a key each column takes its largest value, so that no target row is doubled; reduce them beforehand
-    (:func:`dedupe`) where another one should win."""
-    fresh = rows.groupBy(*key).agg(*[F.max(c).alias(f"_new_{c}") for c in columns])
+def patch(target: DataFrame, rows: DataFrame, key: list, columns: list, seq: str | None = None) -> DataFrame:
+    """Set some columns by key and leave the others (A6); a NULL in the patch leaves the old value.
+
+    Several patch rows of a key count as written one after another in the order of ``seq``: each column takes its last
+    value that is not NULL. Without ``seq`` one of them is taken whole, the largest by ``columns``. Either way they are
+    combined before the shuffle, and no target row is doubled."""
+    if seq is None:
+        whole = F.max(F.struct(*columns)).alias("_patch")
+        fresh = rows.groupBy(*key).agg(whole).select(*key, *[F.col(f"_patch.{c}").alias(f"_new_{c}") for c in columns])
+    else:
+        last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq)))
+        fresh = rows.groupBy(*key).agg(*[last(c).alias(f"_new_{c}") for c in columns])
     joined = target.join(fresh, key, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns]
