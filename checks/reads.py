@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.catalog import query
@@ -14,7 +16,9 @@ from tidewire.operators import joins as jn
 from tidewire.operators import ranking as rk
 from tidewire.operators import reports as rp
 from tidewire.operators import tables as tb
-from tidewire.session import durable
+from tidewire.session import durable, shared_folder
+from tidewire.sources.keyed import KeyedTable
+from tidewire.sources.tables import replace_partition
 
 NOW = "2024-01-31 00:00:00"
 KW = "tion"
@@ -353,6 +357,42 @@ query("upsert_counts", f"""SELECT count(*) FILTER (o.user_id IS NULL) AS inserte
     lambda t: tb.upsert_counts(t.sql(TARGET), t.sql(BATCH), ["user_id"], "event_id"))
 query("patch_rows", """SELECT a.article_id, a.press, coalesce(c.corrected_sentiment, a.sentiment) AS sentiment FROM articles a LEFT JOIN (SELECT article_id, corrected_sentiment FROM corrections WHERE id % 2 = 1) c USING (article_id)""")(
     lambda t: tb.patch(t.articles.select("article_id", "press", "sentiment"), t.sql("SELECT article_id, corrected_sentiment AS sentiment FROM corrections WHERE id % 2 = 1"), ["article_id"], ["sentiment"]))
+
+
+def stored(t, df, key):
+    """A stored copy of a table in the shared folder, by key."""
+    return KeyedTable(t.spark, f"{shared_folder(t.spark)}/keyed-{uuid.uuid4().hex}", key, 16).create(df)
+
+
+def upsert_stored(t):
+    table = stored(t, t.sql(TARGET), ["user_id"])
+    table.upsert(t.sql(BATCH), "event_id")
+    return table.read()
+
+
+PATCHES = "SELECT 'DOC_' || CAST(user_id * 9 AS STRING) AS article_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS sentiment, CASE WHEN event_id % 2 = 0 THEN value END AS sentiment_score, event_id FROM events WHERE user_id % 4 = 1"
+
+
+def patch_stored(t):
+    table = stored(t, t.articles.select("article_id", "press", "sentiment", "sentiment_score"), ["article_id"])
+    table.patch(t.sql(PATCHES), ["sentiment", "sentiment_score"], "event_id")
+    return table.read()
+
+
+# the days of one week written anew, with a mark on their titles; the other days stay as they are stored
+def replaced_days(t):
+    path = f"{shared_folder(t.spark)}/days-{uuid.uuid4().hex}"
+    days = t.sql("SELECT article_id, title, CAST(CAST(published_at AS DATE) AS STRING) AS day FROM articles")
+    replace_partition(days, path, "day")
+    replace_partition(days.filter("day BETWEEN '2024-01-08' AND '2024-01-14'").withColumn("title", F.concat(F.lit("* "), "title")), path, "day")
+    return t.spark.read.parquet(path).select("article_id", "title", F.col("day").cast("string").alias("day"))
+
+
+query("upsert_stored", f"""WITH n AS (SELECT user_id, name, score FROM ({BATCH}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+ SELECT * FROM n UNION ALL SELECT * FROM ({TARGET}) o WHERE user_id NOT IN (SELECT user_id FROM n)""")(upsert_stored)
+query("patch_stored", f"""WITH n AS (SELECT article_id, arg_max(sentiment, event_id) FILTER (sentiment IS NOT NULL) AS s, arg_max(sentiment_score, event_id) FILTER (sentiment_score IS NOT NULL) AS c FROM ({PATCHES}) GROUP BY 1)
+ SELECT a.article_id, a.press, coalesce(s, a.sentiment) AS sentiment, coalesce(c, a.sentiment_score) AS sentiment_score FROM articles a LEFT JOIN n USING (article_id)""")(patch_stored)
+query("replaced_days", "SELECT article_id, CASE WHEN CAST(published_at AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' THEN '* ' || title ELSE title END AS title, CAST(CAST(published_at AS DATE) AS VARCHAR) AS day FROM articles")(replaced_days)
 query("insert_ignored", f"""WITH n AS (SELECT user_id, name, score FROM ({BATCH}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1) SELECT * FROM ({TARGET}) UNION ALL SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM ({TARGET}))""")(
     lambda t: tb.insert_ignore(t.sql(TARGET), t.sql(BATCH), ["user_id"], "event_id"))
 query("stage_log", """SELECT article_id, 'S501' AS code_id, CASE WHEN summary IS NULL THEN 'fail' ELSE 'success' END AS status, CASE WHEN summary IS NULL THEN 'E007' END AS error_code, CASE WHEN summary IS NULL THEN 'summary' END AS error_message FROM articles""")(

@@ -62,3 +62,35 @@ def test_logo_map_and_export(spark, tmp_path):
     tb.write_map(rows, str(tmp_path / "out"))
     tb.write_csv(rows, str(tmp_path / "csv"))
     assert tb.read_csv(spark, str(tmp_path / "csv"), ["name", "value"]).count() == 2
+
+
+def test_keyed_table_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    from tidewire.sources.keyed import KeyedTable
+
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(i, f"v{i}", i) for i in range(200)], "k int, v string, n int")
+    table = KeyedTable(spark, path, ["k"], 16).create(first)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    bucket = lambda p: int(p.parent.name.removeprefix("_bucket="))
+    before = files()
+    touched = table.upsert(spark.createDataFrame([(3, "old", 1, 1), (3, "new", 2, 2), (500, "added", 5, 3)], "k int, v string, n int, at int"), "at")
+    after = files()
+    assert 1 <= len(touched) <= 2
+    assert {p: t for p, t in before.items() if bucket(p) not in touched} == {p: t for p, t in after.items() if bucket(p) not in touched}
+    assert not any(p in after for p in before if bucket(p) in touched)
+    want = {i: (f"v{i}", i) for i in range(200)} | {3: ("new", 2), 500: ("added", 5)}
+    assert {r["k"]: (r["v"], r["n"]) for r in table.read().collect()} == want
+    assert len(table.patch(spark.createDataFrame([(7, None, 70), (7, "seven", None), (900, "nobody", 1)], "k int, v string, n int"), ["v"])) <= 2
+    want[7] = ("seven", 7)
+    assert {r["k"]: (r["v"], r["n"]) for r in KeyedTable(spark, path, ["k"], 16).read().collect()} == want
+    assert table.upsert(spark.createDataFrame([], "k int, v string, n int, at int"), "at") == [] and table.read().count() == 201
+
+
+def test_keyed_table_that_begins_empty(spark, tmp_path):
+    from tidewire.sources.keyed import KeyedTable
+
+    empty = spark.createDataFrame([], "k string, v int")
+    table = KeyedTable(spark, str(tmp_path / "e"), ["k"], 4).create(empty)
+    assert table.read().collect() == []
+    table.upsert(spark.createDataFrame([("a", 1, 1), (None, 2, 2)], "k string, v int, at int"), "at")
+    assert sorted(map(tuple, table.read().collect()), key=str) == [("a", 1), (None, 2)]
