@@ -121,6 +121,8 @@ def test_url_rules(spark):
         (9, "ok.org", "/news/1"): (None, "allow"), (10, "net", "/"): ("net/", "block"), (11, "b\nc:", "//net/x"): (None, "allow"),
     }
     assert url_filter(pages.limit(0), labelled.limit(0), given).collect() == []
+    alone = {r.page_id: (r.rule, r.verdict) for r in url_filter(pages.filter("page_id < 10"), labelled, [], 0.05, 0.6).collect()}
+    assert alone == {k: (None, "block" if k == 8 else "allow") for k in range(10)}
 
 
 def test_mined_rules_against_plain_counts(spark):

@@ -31,8 +31,8 @@ def url_tokens(host: str = "host", path: str = "path") -> Column:
 
 
 def fitting_rule(rules: list[tuple[str, str]], host: str = "host", path: str = "path") -> Column:
-    """Struct ``rule, verdict`` of the longest given rule (host + path prefix) that fits; null if none does."""
-    out = None
+    """Struct ``rule, verdict`` of the longest given rule (host + path prefix) that fits; null if none does or none is given."""
+    out = None if rules else F.lit(None).cast("struct<rule:string,verdict:string>")
     for text, verdict in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         rule_host, slash, rest = text.partition("/")
         fits = ((F.col(host) == rule_host) | F.endswith(F.col(host), F.lit("." + rule_host))) & F.startswith(F.col(path), F.lit(slash + rest))
