@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.plain import covered, grouped, shingles
+from tidewire.llm import jaccard_join
 from tidewire.llm.components import components
-from tidewire.llm.jaccard_join import drop_near_duplicates, near_duplicates
+from tidewire.llm.jaccard_join import drop_near_duplicates, link_classes, near_duplicates
 from tidewire.llm.substring_dedup import remove_passages
 from tidewire.llm.suffix_dedup import Suffixes, merge_sorted, ranks, remove_strings
 
@@ -78,6 +79,22 @@ def test_one_chain_of_links_is_one_group(spark):
     assert {w[2] for w in grouped(rows)} == {0}
 
 
+def test_unlike_documents_around_one_passage(spark, monkeypatch):
+    """Own words bring most pairs just above or below the threshold; shared own phrases link some of them again."""
+    rnd = random.Random(5)
+    passage = ["p%d" % k for k in range(120)]
+    phrases = [["q%d_%d" % (k, j) for j in range(12)] for k in range(6)]
+    rows = []
+    for k in range(260):
+        own = ["o%d_%d" % (k, j) for j in range(rnd.randrange(3, 34))]
+        start = rnd.randrange(0, 12)
+        rows.append((k, " ".join((rnd.choice(phrases) if k % 3 else []) + passage[start:] + own)))
+    want = sorted(w[:3] for w in grouped(rows))
+    assert len({w[2] for w in want}) > 20  # not one group
+    monkeypatch.setattr(jaccard_join, "link_classes", lambda sets, percent: link_classes(sets, percent, 3))
+    assert sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), most=9000).collect()) == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty).collect() == []

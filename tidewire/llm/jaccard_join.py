@@ -233,10 +233,18 @@ def _in_reach(n: str, low: str, high: str, percent: int):
     return (100 * F.col(high) >= percent * F.col(n)) & (percent * F.col(low) <= 100 * F.col(n))
 
 
+def _enough(common, low, percent: int):
+    """Whether a set of n tokens with so many in common can link with one of at least ``low``: the other has no fewer than
+    percent * n / 100 either, and a pair of n and m needs percent * (n + m) / (100 + percent) in common."""
+    return (100 + percent) * (F.col(common) if isinstance(common, str) else common) >= percent * (F.col("n") + F.greatest(low, F.ceil(percent * F.col("n") / 100)))
+
+
 def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) -> DataFrame:
     """``node, component`` of the classes that have a link."""
     alone = (F.col("n") - F.size("tokens")) / F.col("n")
-    heads = durable(sets.select("key", "n", alone.alias("alone"), F.explode(F.slice("tokens", 1, F.col("head"))).alias("token")))
+    # of a pair's common tokens the first lies in both prefixes, and the others behind it in both: `left` bounds them all
+    spread = F.posexplode(F.slice("tokens", 1, F.col("head"))).alias("place", "token")
+    heads = durable(sets.select("key", "n", alone.alias("alone"), F.size("tokens").alias("shared"), spread).withColumn("left", F.col("shared") - F.col("place")).drop("shared", "place"))
     # 1. groups of similar classes: every class against one leader of each of its prefix tokens, the one with the
     #    smallest share of tokens of its own; what does not link stands for the next round's leaders
     links = None
@@ -259,23 +267,23 @@ def link_classes(sets: DataFrame, percent: int, group_size: int = GROUP_SIZE) ->
         sets.join(of, "key", "left").select("key", "n", "tokens", F.coalesce("component", "key").alias("component"), F.coalesce("piece", F.lit("")).alias("piece"))
     )
     spots = heads.drop("alone").join(grouped_sets.select("key", "component", "piece"), "key")
-    shares = spots.groupBy("token", "component").agg(F.count("*").alias("many"))
-    mixed = shares.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    spots = durable(spots.join(mixed, "token"))
-    asking = spots.filter("component <> main").select("token", "key", "n", F.col("component").alias("own"))
-    cells = spots.groupBy("token", "component", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    shares = spots.groupBy("token", "component").agg(F.count("*").alias("many"), F.min("n").alias("least"))
+    mixed = shares.groupBy("token").agg(
+        F.max_by("component", F.struct("many", "component")).alias("main"), F.count("*").alias("kinds"), F.min("least").alias("least")
+    ).filter("kinds > 1")
+    # what has too little left of a token even for the smallest set of the token has no partner that begins there
+    spots = durable(spots.join(mixed, "token").filter(_enough("left", F.col("least"), percent)))
+    asking = spots.filter("component <> main").select("token", "key", "n", "left", F.col("component").alias("own"))
+    cells = spots.groupBy("token", "component", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("left").alias("most"))
     tried = asking.join(cells, "token").filter("own <> component").filter(_in_reach("n", "low", "high", percent))
+    tried = tried.filter(_enough(F.least("left", "most"), F.col("low"), percent))
     tried = tried.groupBy("key", "n", "component", "piece").agg(F.min("low").alias("low"))  # of the members that share a prefix token
     wanted = tried.select("component", "piece").distinct()
     unions = (
         grouped_sets.join(wanted, ["component", "piece"], "left_semi").groupBy("component", "piece").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     )  # at most about group_size sets each
     own = sets.select("key", "tokens")
-    # a set of n tokens needs percent * (n + m) / (100 + percent) in common with one of m, and m is at least percent * n / 100
-    least = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
-    reach = tried.join(own, "key").join(unions, ["component", "piece"]).filter(
-        (100 + percent) * F.size(F.array_intersect("tokens", "union")) >= percent * (F.col("n") + least)
-    )
+    reach = tried.join(own, "key").join(unions, ["component", "piece"]).filter(_enough(F.size(F.array_intersect("tokens", "union")), F.col("low"), percent))
     opened = durable(reach.select("key", "n", "component", "piece"))
     inside = grouped_sets.select("component", "piece", F.col("key").alias("other"), F.col("n").alias("other_n"))
     pairs = opened.join(inside, ["component", "piece"]).filter(_in_reach("n", "other_n", "other_n", percent))
