@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.operators.ranking import keep_last
+from tidewire.session import durable
 
 LABELS = ["positive", "negative", "neutral"]
 
@@ -55,12 +57,61 @@ def read_csv(spark: SparkSession, path: str, required: list) -> DataFrame:
     return df
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place (file, start of the split, number in it) and whether a quoted value is open
+    before them.
+
+    Quotes of a closed value come in pairs, so the state before a line is the parity of all quotes of the file before
+    it: counted per split, summed over the splits (one row each), then run through the lines of a split."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    lines = durable(read.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"')))))
+    splits = lines.groupBy("file", "block").agg(F.sum("quotes").alias("_all"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    opened = splits.withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    broken = opened.groupBy("file").agg(F.sum("_all").alias("n")).filter("n % 2 = 1").first()
+    if broken is not None:
+        raise ValueError(f"{broken['file']} ends inside a quoted value")
+    inside = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    state = (F.col("_before") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))) % 2 == 1
+    return lines.join(opened.drop("_all"), ["file", "block"]).withColumn("open", state).drop("_before", "quotes")
+
+
+def read_csv_rows(spark: SparkSession, path: str, required: list) -> DataFrame:
+    """CSV with a header as text columns and ``seq``, a struct that orders rows as they stand: by file name, then place.
+
+    Files are read in splits like any text, and a quoted value may hold line breaks, at the border of two splits as well
+    (a break inside a value becomes a line feed). Lines without text between records are passed over; missing values
+    are null; the byte-order mark at a file's start goes. All files have the header of the first; a missing column, a file of
+    another header or one that ends inside quotes is an error, an empty file one for its missing columns.
+    """
+    lines = _numbered_lines(spark, path)
+    begins = F.when(~F.col("open"), F.struct("block", "line"))
+    near = W.partitionBy("file", "block").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    lasts = lines.groupBy("file", "block").agg(F.max(begins).alias("_last"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    carried = lasts.select("file", "block", F.max("_last").over(earlier).alias("_carried"))
+    owned = lines.withColumn("_own", F.max(begins).over(near)).join(carried, ["file", "block"]).withColumn("at", F.coalesce("_own", "_carried"))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    records = owned.groupBy("file", "at").agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("record"))
+    records = durable(records.filter(F.trim("record") != ""))
+    heads = records.groupBy("file").agg(F.min(F.struct("at", "record")).alias("head")).select("file", F.ltrim(F.col("head.record"), F.lit("\ufeff")).alias("head"), F.col("head.at").alias("_first"))
+    kinds = [r["head"] for r in heads.select("head").distinct().limit(2).collect()]  # more than one is an error
+    if len(kinds) > 1:
+        raise ValueError("the files have different headers")
+    names = [c.strip().strip('"').strip() for c in kinds[0].split(",")] if kinds else []
+    lacking = [c for c in required if c not in names]
+    if lacking:
+        raise ValueError(f"missing columns: {lacking}")
+    rows = records.join(heads.select("file", "_first"), "file").filter(F.col("at") > F.col("_first"))
+    return rows.select(F.from_csv("record", ", ".join(f"`{c}` string" for c in names), {"escape": '"'}).alias("_row"), F.struct("file", "at").alias("seq")).select("_row.*", "seq")
+
+
 def load_lexicon(spark: SparkSession, path: str, current: DataFrame | None = None, replace_all: bool = False) -> DataFrame:
     """A sentiment lexicon from CSV, merged into the current one or replacing it."""
-    raw = read_csv(spark, path, ["keyword", "sentiment"])
+    raw = read_csv_rows(spark, path, ["keyword", "sentiment"])
     if "weight" not in raw.columns:
         raw = raw.withColumn("weight", F.lit(None).cast("string"))
-    fresh = clean_lexicon(raw.withColumn("seq", F.monotonically_increasing_id()))
+    fresh = clean_lexicon(raw)
     if current is None or replace_all:
         return fresh
     return current.select("keyword", "sentiment", "weight").join(fresh.select("keyword"), "keyword", "left_anti").unionByName(fresh)
