@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.catalog import query
@@ -13,6 +15,7 @@ from tidewire.operators import scopes as sp
 from tidewire.operators import similarity as sm
 from tidewire.operators import summaries as su
 from tidewire.operators import viewpoints as vp
+from tidewire.session import shared_folder
 from tidewire.sources import pages as pg
 from tidewire.sources import tables as tb
 
@@ -44,8 +47,19 @@ def feeds(t):
 query("rss_items", """SELECT 'https://n.example/article/' || doc_id || '/7' AS url, CASE WHEN is_disabled THEN 'desk' ELSE press END AS author, published_at::TIMESTAMP AS published_at, 'NAVER_' || doc_id || '_7' AS article_id FROM articles""")(
     lambda t: pg.parse_rss(feeds(t)).select("url", "author", "published_at", "article_id"))
 RAW_LEX = "SELECT event_id AS seq, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE ' U' || CAST(user_id AS STRING) || ' ' END AS keyword, CASE event_type WHEN 'click' THEN 'Positive' WHEN 'error' THEN ' negative ' ELSE event_type END AS sentiment, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id AS STRING) || '.5' END AS weight FROM events"
-query("lexicon_cleaned", f"""SELECT keyword, sentiment, weight FROM (SELECT seq, lower(trim(keyword)) AS keyword, lower(trim(sentiment)) AS sentiment, coalesce(try_cast(weight AS DOUBLE), 1.0) AS weight FROM ({RAW_LEX})) WHERE keyword <> '' AND sentiment IN ('positive','negative') QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY seq DESC) = 1""")(
+CLEAN_LEX = f"""SELECT keyword, sentiment, weight FROM (SELECT seq, lower(trim(keyword)) AS keyword, lower(trim(sentiment)) AS sentiment, coalesce(try_cast(weight AS DOUBLE), 1.0) AS weight FROM ({RAW_LEX})) WHERE keyword <> '' AND sentiment IN ('positive','negative') QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY seq DESC) = 1"""
+query("lexicon_cleaned", CLEAN_LEX)(
     lambda t: tb.clean_lexicon(t.sql(RAW_LEX)))
+
+
+@query("lexicon_uploaded", CLEAN_LEX)
+def lexicon_uploaded(t):
+    """The same rows through CSV files, whose order alone says which row is the last."""
+    path = f"{shared_folder(t.spark)}/lexicon-{uuid.uuid4().hex}"
+    tb.write_csv(t.sql(RAW_LEX).orderBy("seq").drop("seq"), path)
+    return tb.load_lexicon(t.spark, path)
+
+
 query("lexicon_bad_rows", f"SELECT lower(trim(sentiment)) AS sentiment, count(*) AS cnt FROM ({RAW_LEX}) WHERE trim(keyword) = '' OR lower(trim(sentiment)) NOT IN ('positive','negative') GROUP BY 1")(
     lambda t: tb.bad_lexicon_rows(t.sql(RAW_LEX)))
 BULK = "SELECT event_id AS seq, 'DOC_' || CAST(user_id * 9 AS STRING) AS article_id, CASE event_type WHEN 'click' THEN ' Positive' WHEN 'error' THEN 'negative' WHEN 'view' THEN 'neutral' ELSE event_type END AS true_sentiment FROM events"
