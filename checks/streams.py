@@ -23,7 +23,7 @@ def places(spark):
 
 def stream_of(t, table):
     static = t.spark.read.parquet(f"{t.folder}/{table}.parquet")
-    df = jb.read_stream(t.spark, t.folder, static.schema, f"{table}.parquet")
+    df = jb.read_table_stream(t.spark, f"{t.folder}/{table}.parquet", static.schema)
     if table == "events":
         df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     return df
