@@ -64,3 +64,15 @@ def test_words_are_read_by_range(spark, stored, tmp_path):
     plan = po.phrase_keys(read, "common w17", "title")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(field" in plan and "EqualTo(term,common)" in plan and "EqualTo(term,w17)" in plan
     assert "StringStartsWith(term,w1)" in po.phrase_prefix_keys(read, "common w1", "title")._jdf.queryExecution().toString()
+
+
+def test_building_exchanges_nothing_and_repeated_keys_are_found_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "of the sea"), (1, "the sea of the"), (2, "the of"), (2, "x the"), (3, None)], "article_id long, title string")
+    table = po.postings(docs, ["title"])
+    assert "Exchange" not in table.sortWithinPartitions("term")._jdf.queryExecution().executedPlan().toString()
+    po.write_postings(table, str(tmp_path / "p"))
+    read = po.read_postings(spark, str(tmp_path / "p"))
+    # 2: "of" at place 1 of one text, "the" at place 1 of the other
+    assert keys(po.phrase_keys(read, "of the", "title")) == [1] and keys(po.phrase_keys(read, "the", "title")) == [1, 2]
+    asked = spark.createDataFrame([(1, "of the"), (2, "the sea")], "query_id int, query string")
+    assert sorted(map(tuple, po.saved_phrases(read, asked, "title").collect())) == [(1, 1), (2, 1)]

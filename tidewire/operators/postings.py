@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +15,61 @@ from tidewire.functions.text import phrase_text
 from tidewire.operators.filters import SEARCH_WEIGHTS
 
 
+#: Rows that a task hands over at a time, and bytes of a row group of a stored table.
+OUT_ROWS, ROW_GROUP = 50_000, 16 << 20
+
+
 def _words(text) -> Column:
     return F.filter(F.split(F.trim(phrase_text(text)), " "), lambda w: w != "")
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of every text with their places, about ``OUT_ROWS`` rows at a time."""
+
+    def made(names: list, whose: list, terms: list, spots: list, key: pa.Array) -> pa.RecordBatch:
+        upto = np.cumsum([0, *map(len, spots)])
+        flat = np.fromiter(chain.from_iterable(spots), dtype=np.int32, count=int(upto[-1]))
+        places = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(terms, pa.string()), key.take(pa.array(whose, pa.int64())), places], names=["field", "term", "key", "positions"])
+
+    for batch in batches:
+        key, fields, texts = batch.column("key"), batch.column("field"), batch.column("text")
+        names, whose, terms, spots = [], [], [], []
+        for i in range(batch.num_rows):
+            found: dict[str, list[int]] = {}
+            for place, word in enumerate(w for w in (texts[i].as_py() or "").split(" ") if w):
+                found.setdefault(word, []).append(place)
+            names += [fields[i].as_py()] * len(found)
+            whose += [i] * len(found)
+            terms += found
+            spots += found.values()
+            if len(terms) >= OUT_ROWS:
+                yield made(names, whose, terms, spots, key)
+                names, whose, terms, spots = [], [], [], []
+        if terms:
+            yield made(names, whose, terms, spots, key)
+
+
 def postings(df: DataFrame, fields: list, key: str = "article_id") -> DataFrame:
     """``field, term, key, positions``: one row per word of a field of a row, with all its places in ascending order.
 
-    Words are those of :func:`tidewire.functions.text.phrase_text`; a null or empty field has none. Keys name rows: of
-    rows that repeat a key the places are merged. Building costs one exchange of about the text's size.
+    Words are those of :func:`tidewire.functions.text.phrase_text`; a null or empty field has none. Rows that repeat a key
+    have postings of their own, and searches find the key once; a phrase is met where its words stand in one text or at the
+    same places of texts of one key. Each text is taken apart where it was read, nothing is exchanged.
     """
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]))
-    texts = df.select(F.col(key).alias("key"), named.alias("_f")).select("key", "_f.field", _words("_f.text").alias("words"))
-    spots = texts.select("field", "key", F.posexplode("words").alias("position", "term"))
-    return spots.groupBy("field", "term", "key").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+    texts = df.select(F.col(key).alias("key"), named.alias("_f")).filter("_f.text IS NOT NULL").select("key", "_f.field", F.trim(phrase_text("_f.text")).alias("text"))
+    return texts.mapInArrow(_places, f"field string, term string, key {dict(df.dtypes)[key]}, positions array<int>")
 
 
 def write_postings(table: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store postings by field, in files of ascending terms, so that a question reads the row groups of its terms only.
+    """Store postings by field, in files of ascending terms, so that a question reads the pages of its terms only.
 
-    Ranges are cut by term and key, so a word that stands in every row spreads over many files. ``mode="append"`` adds
-    the postings of further rows."""
-    ranged = table.repartitionByRange("field", "term", "key").sortWithinPartitions("field", "term", "key")
-    ranged.write.mode(mode).partitionBy("field").parquet(path)
+    Every task writes the postings of the rows it has, as a search index cuts its rows into shards: a word that stands in
+    every row spreads over all files, and storing costs no exchange, only a sort inside each task. ``mode="append"`` adds the
+    postings of further rows."""
+    ordered = table.sortWithinPartitions("field", "term", "key")
+    ordered.write.mode(mode).option("parquet.block.size", ROW_GROUP).partitionBy("field").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
@@ -49,13 +85,11 @@ def _terms(spark: SparkSession, query: str) -> list[str]:
 
 
 def _runs(hits: DataFrame, offsets: Column, keys: list, length) -> DataFrame:
-    """Keys with some start from which every offset of a phrase is met.
-
-    Every offset finds a start at most once, so counting is enough and combines before the shuffle."""
+    """Keys with some start from which every offset of a phrase is met."""
     starts = hits.select(*keys, length.alias("_length"), F.explode(offsets).alias("_offset"), "positions")
     starts = starts.select(*keys, "_length", F.explode("positions").alias("_position"), "_offset")
-    whole = starts.groupBy(*keys, (F.col("_position") - F.col("_offset")).alias("_start")).agg(F.count("*").alias("_met"), F.max("_length").alias("_length"))
-    return whole.filter("_met = _length").select(*keys).distinct()
+    whole = starts.groupBy(*keys, (F.col("_position") - F.col("_offset")).alias("_start")).agg(F.collect_set("_offset").alias("_met"), F.max("_length").alias("_length"))
+    return whole.filter("size(_met) = _length").select(*keys).distinct()
 
 
 def _phrase(table: DataFrame, query: str, field: str, open_end: bool) -> DataFrame:
