@@ -94,3 +94,15 @@ def test_keyed_table_that_begins_empty(spark, tmp_path):
     assert table.read().collect() == []
     table.upsert(spark.createDataFrame([("a", 1, 1), (None, 2, 2)], "k string, v int, at int"), "at")
     assert sorted(map(tuple, table.read().collect()), key=str) == [("a", 1), (None, 2)]
+
+
+def test_pages_are_read_in_small_steps():
+    import pyarrow as pa
+
+    html = [None if i % 7 == 0 else f"<article><h1>t{i}</h1>body {i}</article>" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"u{i}" for i in range(1000)]), pa.array(html)], names=["page_id", "url", "html"])
+    rules = {"content": ["article"], "author": ["article h1"]}
+    out = list(pg._read_pages(rules, "page_id")([batch]))
+    assert max(b.num_rows for b in out) <= pg.PAGES and sum(b.num_rows for b in out) == 1000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows == [{"page_id": i, "url": f"u{i}"} | pg.read_fields(html[i], rules) for i in range(1000)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,9 @@ ID_PATTERNS = [
 ]
 RSS_TIME = "d MMM yyyy HH:mm:ss"
 
+#: Pages whose fields are held at a time.
+PAGES = 256
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style", "template"}
 
@@ -99,18 +102,27 @@ def read_fields(html: str, rules: dict) -> dict:
     return out
 
 
+def _read_pages(rules: dict, key: str):
+    """Batch function: the fields of every page, ``PAGES`` pages at a time."""
+    names = list(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, PAGES):
+                some = batch.slice(a, PAGES)
+                fields = [read_fields(html.as_py(), rules) for html in some.column("html")]
+                texts = [pa.array([f[n] for f in fields], pa.string()) for n in names]
+                yield pa.RecordBatch.from_arrays([some.column(key), some.column("url"), *texts], names=[key, "url", *names])
+
+    return run
+
+
 def extract_articles(pages: DataFrame, rules: dict | None = None, key: str = "page_id") -> DataFrame:
     """Page fields per row (A1): content, press (name, else logo text, else Unknown), author without brackets, time."""
     rules = rules or ARTICLE_RULES
     names = list(rules)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fields = pd.DataFrame([read_fields(h, rules) for h in pdf["html"]], columns=names, dtype=object)
-            yield pd.concat([pdf[[key, "url"]].reset_index(drop=True), fields], axis=1)
-
     key_type = dict(pages.dtypes)[key]
-    raw = pages.select(key, "url", "html").mapInPandas(run, f"{key} {key_type}, url string, " + ", ".join(f"{n} string" for n in names))
+    raw = pages.select(key, "url", "html").mapInArrow(_read_pages(rules, key), f"{key} {key_type}, url string, " + ", ".join(f"{n} string" for n in names))
     have = lambda n: F.col(n) if n in names else F.lit(None).cast("string")
     return raw.select(
         key, "url", F.coalesce("content", F.lit("")).alias("content"),
