@@ -176,6 +176,19 @@ def test_near_copies_equal_a_sequential_pass(spark):
         assert got == greedy(TEXTS, 0.9)
 
 
+def test_near_copies_leave_no_shuffle_and_hold_numbers(spark, tmp_path, monkeypatch):
+    """Shuffles go with the step that made them, and no table of terms holds a signature."""
+    df = spark.createDataFrame([(i, i, f"word{i % 40} other{i} more{i % 7} text") for i in range(300)], "id int, seq int, text string")
+    seen, plain = [], sm.durable
+    monkeypatch.setattr(sm, "durable", lambda df: seen.append(df.dtypes) or plain(df))
+    made = spark.sparkContext._jsc.sc().env().blockManager()
+    shuffles = lambda: sum(1 for b in made.diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in b)
+    before = shuffles()
+    assert sm.near_copies(df, 0.9).filter("kept").count() == len(greedy([r["text"] for r in df.collect()], 0.9))
+    assert all(kind != "string" for columns in seen for name, kind in columns if name in ("sig", "sig_a", "sig_b"))
+    assert shuffles() - before < 60
+
+
 def test_first_come_on_a_long_chain(spark, monkeypatch):
     """Every row conflicts with the next; the number of checkpoints grows with the logarithm of the chain."""
     made = []

@@ -30,8 +30,7 @@ def dedup_ingest(raw: DataFrame, corpus: DataFrame, threshold: float = ko.NEAR_C
         F.concat(F.lit("m:"), F.sha2(F.concat_ws("\x1f", "title", "press"), 256)),
         F.concat(F.lit("a:"), F.nullif("article_id", F.lit(""))),
     )).alias("key")).filter(F.col("key").isNotNull())
-    signed = durable(text_signatures(fresh))
-    kept = durable(first_come(signed, keys, signed, threshold))
+    kept = durable(first_come(fresh.select("id", "seq"), keys, text_signatures(fresh), threshold))
     accepted = durable(whole.join(kept, "id", "left_semi").select("seq", "url", "title", "press", "article_id"))
 
     def earliest(columns, name):

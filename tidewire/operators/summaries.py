@@ -149,9 +149,7 @@ def _distinct_of_large(sentences: DataFrame, threshold: float) -> DataFrame:
     df = tf.groupBy("scope_id", "term").agg(F.sum("times").alias("df"))
     sizes = signed.groupBy("scope_id").agg(F.count("*").alias("n"))
     weight = F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    raw = tf.join(df, ["scope_id", "term"]).join(sizes, "scope_id").select("sig", F.concat("scope_id", mark, "term").alias("term"), "df", weight.alias("raw"))
-    length = raw.groupBy("sig").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    vectors = raw.join(length, "sig").select("sig", "term", "df", (F.col("raw") / F.col("length")).alias("w"))
+    vectors = tf.join(df, ["scope_id", "term"]).join(sizes, "scope_id").select("sig", F.concat("scope_id", mark, "term").alias("term"), "df", weight.alias("raw"))
     own = signed.select("id", F.concat(F.lit("i:"), F.col("id").cast("string")).alias("key"))
     # a sentence without grams is like no other
     alike = F.when(F.size("words") > 0, F.col("sig")).otherwise(F.col("id").cast("string")).alias("sig")
