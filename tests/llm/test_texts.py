@@ -186,3 +186,12 @@ def test_shards(spark):
     again = {(r.doc_id, r.source, r.size): (r.shard, r.slot) for r in interleave(docs.repartition(7), "source", "doc_id", 16).collect() if r.doc_id not in (5, None)}
     assert again == {(r.doc_id, r.source, r.size): (r.shard, r.slot) for r in got if r.doc_id not in (5, None)}
     assert interleave(docs.limit(0), "source", "doc_id", 16).collect() == []
+
+
+def test_bpe_packs_and_asks_in_one_python_step(spark):
+    """Two Python steps in one stage are two workers in every task."""
+    df = spark.createDataFrame([(1, "one word and another"), (2, None)], "doc_id long, text string")
+    out = encode(df, public_tokenizers.path("byte_bpe_50k.json"))
+    plan = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in line]
+    assert len(plan) == 3  # words, blocks, and the end
+    assert [r["decoded"] for r in out.orderBy("doc_id").collect()] == ["one word and another", ""]

@@ -211,6 +211,22 @@ def ask(blocks: DataFrame, fn: Callable[[Block], Iterator[dict]], schema: str, *
     return blocks.mapInArrow(run, schema)
 
 
+def ask_texts(docs: DataFrame, fn: Callable[[Block], Iterator[dict]], schema: str, id_column: str = "doc_id", text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+    """The messages that :func:`ask` has for the blocks of :func:`pack`, from the texts in one step: a task that packs and
+    asks in two runs two Python workers at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+    packed = _packed(most, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in unpacked(packed(batches)):
+            for rows in fn(block):
+                yield pa.RecordBatch.from_pydict(rows, schema=fields)
+
+    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+
+
 def answer(messages: DataFrame, fn: Callable[[pa.Table], dict], schema: str) -> DataFrame:
     """Answers of all buckets; ``fn`` sees one bucket's messages and returns columns that name their block."""
     from pyspark.sql.pandas.types import to_arrow_schema

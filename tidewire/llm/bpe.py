@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.blocks import Block, answer, array_of, ask, attach, bucket_count, pack, unpacked, word_hashes
+from tidewire.llm.blocks import Block, answer, array_of, ask_texts, attach, bucket_count, pack, unpacked, word_hashes
 
 BLOCK_BYTES = 3 << 20
 #: Bytes and words of a block that are worked on at a time.
@@ -335,7 +335,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
 
     n = bucket_count(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     blocks = pack(docs, id_column, text, most)
-    told = answer(ask(blocks, _ask_words(path, n), WORDS), _tell_ids(path), IDS)
+    told = answer(ask_texts(docs, _ask_words(path, n), WORDS, id_column, text, most), _tell_ids(path), IDS)
     schema = "doc_id long, n_tokens long, ids array<int>, decoded string"
     fields = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
     return attach(blocks, told, "told").mapInArrow(_finish(path, n, fields), schema)
