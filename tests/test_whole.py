@@ -112,3 +112,11 @@ def test_clean_tokens_equal_plain_code_on_all_words(spark):
     assert any(re.search(r"[0-9.,]", w) for w in want)
     got = entry.queries()["clean_tokens"](spark, FOLDER).collect()
     assert {r["w"]: r["cleaned"] for r in got} == want and len(got) == len(want)
+
+
+def test_grams_of_a_word_are_made_once():
+    su.word_grams.cache_clear()
+    text = "The market and the market and a paper"
+    want = su.Counter(f" {w} "[i : i + n] for w in text.lower().split() for n in (2, 3) for i in range(max(1, len(w) + 3 - n)))
+    assert su.gram_counts(text) == want
+    assert su.word_grams.cache_info().misses == len(set(text.lower().split()))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,27 +22,38 @@ from tidewire.operators.similarity import first_come
 from tidewire.session import durable
 
 
+@lru_cache(maxsize=1 << 16)
+def word_grams(word: str, low: int = 2, high: int = 3) -> tuple[str, ...]:
+    """Character n-grams of a word between spaces; words come again and again, so a task keeps those of the latest."""
+    padded = f" {word} "
+    return tuple(padded[i : i + n] for n in range(low, high + 1) for i in range(max(1, len(padded) - n + 1)))
+
+
 def gram_counts(sentence: str, low: int = 2, high: int = 3) -> Counter:
     """Character n-grams inside the space-padded words of a sentence."""
-    grams: Counter = Counter()
-    for word in sentence.lower().split():
-        padded = f" {word} "
-        for n in range(low, high + 1):
-            grams.update(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
-    return grams
+    return Counter(chain.from_iterable(word_grams(word, low, high) for word in sentence.lower().split()))
 
 
 class Grams:
     """Unit rows of smooth tf-idf over character n-grams inside space-padded words, held as (row, gram, weight) entries."""
 
     def __init__(self, sentences, low: int = 2, high: int = 3):
-        counts = [gram_counts(sentence, low, high) for sentence in sentences]
-        number: dict = {}
-        self.n = len(counts)
-        self.column = np.array([number.setdefault(g, len(number)) for grams in counts for g in sorted(grams)], dtype=np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(g) for g in counts])
+        place: dict = {}
+        split = [[place.setdefault(w, len(place)) for w in sentence.lower().split()] for sentence in sentences]
+        self.n = len(split)
+        # the grams of each distinct word, numbered in their order
+        grams = [word_grams(w, low, high) for w in place]
+        number = {g: i for i, g in enumerate(sorted({g for own in grams for g in own}))}
         self.width = len(number)
-        weight = np.array([grams[g] for grams in counts for g in sorted(grams)], dtype=float)
+        size = np.array([len(own) for own in grams], dtype=np.int64)
+        ids = np.array([number[g] for own in grams for g in own], dtype=np.int64)
+        # every word of every sentence, spread out into its grams
+        word = np.array([w for own in split for w in own], dtype=np.int64)
+        line = np.repeat(np.arange(self.n), [len(own) for own in split])
+        many = size[word]
+        spot = np.arange(many.sum()) + np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(many) - many), many)
+        cell, times = np.unique(np.repeat(line, many) * max(self.width, 1) + ids[spot], return_counts=True)
+        self.row, self.column, weight = cell // max(self.width, 1), cell % max(self.width, 1), times.astype(float)
         held = np.bincount(self.column, minlength=self.width)
         weight *= (np.log((1 + self.n) / (1 + held)) + 1)[self.column]
         length = np.sqrt(np.bincount(self.row, weight * weight, minlength=self.n))
