@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidewire.llm.chat_format import digests, escape, examples, format_turns, read_back, render, unescape
+from tidewire.llm.chat_format import digests, escape, examples, format_examples, format_turns, read_back, render, unescape
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 PARTS = ["<", "[", "s>", "/s>", "INST]", "/INST]", "ROLE]", "/ROLE]", "\\", " ", "<s>", "</s>", "[INST] ", " [/INST]", "\n", "é", "\U0001f600", "$1", "a"]
@@ -92,3 +92,34 @@ def test_rendered_examples_hold_the_prefix_and_one_reply(spark):
 def test_empty(spark):
     pieces = format_turns(spark.createDataFrame([], SCHEMA))
     assert pieces.collect() == [] and digests(pieces).collect() == [] and examples(pieces).collect() == []
+
+
+def test_every_reply_is_written_out_behind_its_whole_context(spark):
+    rows = odd_turns(11)
+    pieces = format_turns(spark.createDataFrame(rows, SCHEMA).filter("conv_id <> 102 OR conv_id IS NULL").repartition(6))
+    own = {}
+    for r in pieces.collect():
+        own.setdefault(r.conv_id, []).append(r)
+    want = set()
+    for c, turns in own.items():
+        stream = ""
+        for r in sorted(turns, key=lambda r: r.position):
+            stream += r.piece
+            last = (c, r.example, hashlib.sha256(stream.encode()).hexdigest(), r.target_from, r.target_to)
+            want |= {last} if r.example is not None else set()
+        want.add(last)  # turns that no reply follows
+    written = format_examples(pieces).select("conv_id", "example", F.sha2("formatted", 256).alias("formatted"), "target_from", "target_to").collect()
+    assert {tuple(r) for r in written} == want and len(written) == len(want)
+
+
+def test_digests_read_the_written_examples(spark, monkeypatch):
+    from tidewire.llm import chat_format
+
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a </s>"), (1, 2, "assistant", "b"), (1, 3, "tool", "end")]
+    ordered = format_turns(spark.createDataFrame(rows, SCHEMA)).orderBy("position").toArrow()
+    monkeypatch.setattr(chat_format, "HELD_BYTES", 1)
+    written = [r for b in chat_format._written(iter(ordered.to_batches())) for r in b.to_pylist()]
+    assert [r["formatted"][r["target_from"] : r["target_to"]] for r in written[:2]] == ["a <\\/s>", "b"]
+    assert [r["example"] for r in written] == [0, 1, None] and written[2]["formatted"].startswith(written[1]["formatted"])
+    read = [r for b in chat_format._digested(chat_format._written(iter(ordered.to_batches()))) for r in b.to_pylist()]
+    assert [(r["n_turns"], r["loss_chars"], r["formatted_chars"]) for r in read] == [(4, 7, len(written[2]["formatted"]))]

@@ -1,13 +1,14 @@
 """Conversations as training examples: every assistant turn becomes an example whose context is all that precedes it.
 
 A conversation is formatted once, turn by turn, into one stream of pieces. An example names its context and its target as
-ranges of that stream (prefix and reply), so a conversation of n turns costs n pieces and not n * n / 2; ``render`` writes
-out the text of the examples that are asked for.
+ranges of that stream (prefix and reply). ``format_examples`` writes every example out, its context in front of its reply;
+``render`` writes those that are asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -111,22 +112,94 @@ def read_back(pieces: DataFrame) -> DataFrame:
     return pieces.select("conv_id", "position", role.alias("role"), unescape(text).alias("text"), unescape(loss).alias("loss"), F.char_length(piece).cast("bigint").alias("chars"))
 
 
+#: Bytes of formatted examples that a task gathers before it hands them on.
+HELD_BYTES = 1 << 22
+
+_TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<s>\[ROLE\](?P<role>.*?)\[/ROLE\] (?P<named>.*?) </s>| (?P<reply>.*?) </s>", re.DOTALL)
+_ESCAPED = [(re.compile(p.replace(r"(\\*)", r"\\(\\*)")), ("<" if p.startswith("<") else "[") + r"\1\2") for p in _CONTROLS]
+
+
+def _unescaped(text: str) -> str:
+    for pattern, put in _ESCAPED:
+        text = pattern.sub(put, text)
+    return text
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of conversations, each in order, to their examples; a conversation's stream and one batch are held."""
+    names = ["conv_id", "example", "formatted", "target_from", "target_to"]
+    out, held, now, stream, begun, rest, kind = [], 0, None, bytearray(), False, False, pa.int64()
+
+    def made():
+        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    for batch in batches:
+        kind = batch.schema.field("conv_id").type
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "piece", "example", "target_from", "target_to")]
+        for conv, piece, example, first, last in zip(*columns, strict=True):
+            if not begun or conv != now:
+                if rest:
+                    out.append((now, None, bytes(stream), None, None))
+                    held += len(stream)
+                now, stream, begun = conv, bytearray(), True
+            stream += piece.encode()
+            rest = example is None
+            if not rest:
+                out.append((now, example, bytes(stream), first, last))
+                held += len(stream)
+            if held >= HELD_BYTES:
+                yield made()
+                out, held = [], 0
+    if rest:
+        out.append((now, None, bytes(stream), None, None))
+    if out:
+        yield made()
+
+
+def _in_order(pieces: DataFrame) -> DataFrame:
+    return pieces.select("conv_id", "position", "piece", "example", "target_from", "target_to").repartition("conv_id").sortWithinPartitions("conv_id", "position")
+
+
+def format_examples(pieces: DataFrame) -> DataFrame:
+    """The examples of all conversations with their texts: ``conv_id, example, formatted, target_from, target_to``.
+
+    An assistant turn gives one row: ``formatted`` is its context, which is all that precedes it, and the reply with its
+    marks; ``target_from`` to ``target_to`` is the reply in it, in code points. Turns that no reply follows, or all of a
+    conversation without a reply, give one more row of the whole conversation with nulls for the three. The texts grow
+    with the turns of a conversation times its length; a task holds one conversation's stream and a few megabytes.
+    """
+    kind = pieces.schema["conv_id"].dataType.simpleString()
+    return _in_order(pieces).mapInArrow(_written, f"conv_id {kind}, example long, formatted string, target_from long, target_to long")
+
+
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Written examples, those of a conversation in order, to what they say: each must begin with the one before it."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    now, said, learnt, n, n_loss, chars, begun = None, None, None, 0, 0, 0, False
+    now, said, learnt, n, n_loss, chars, begun, before = None, None, None, 0, 0, 0, False, b""
     for batch in batches:
         ids = batch.column(0)
         out = []
-        for conv, role, text, loss, size in zip(ids.to_pylist(), *[batch.column(k).to_pylist() for k in (2, 3, 4, 5)], strict=True):
+        for conv, formatted, first, last in zip(ids.to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), *[batch.column(k).to_pylist() for k in (3, 4)], strict=True):
             if not begun or conv != now:
                 if begun:
                     out.append((now, n, said.hexdigest(), n_loss, learnt.hexdigest(), chars))
-                now, said, learnt, n, n_loss, chars, begun = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True
-            said.update(f"{role}\n{text}\n".encode())
-            n, chars = n + 1, chars + size
-            if loss is not None:
+                now, said, learnt, n, n_loss, chars, begun, before = conv, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True, b""
+            if not formatted.startswith(before):
+                raise ValueError(f"an example of conversation {conv} does not begin with the one before it")
+            added, at = formatted[len(before) :].decode(), 0
+            while at < len(added):
+                turn = _TURN.match(added, at)
+                if turn is None:
+                    raise ValueError(f"conversation {conv} cannot be read at {chars + at}")
+                role = {"user": "user", "reply": "assistant"}.get(turn.lastgroup) or _unescaped(turn["role"])
+                said.update(f"{role}\n{_unescaped(turn[turn.lastgroup])}\n".encode())
+                n, at = n + 1, turn.end()
+            if first is not None:
+                loss = _unescaped(added[first - chars : last - chars])
                 learnt.update(loss.encode())
                 n_loss += len(loss)
+            chars, before = chars + len(added), formatted
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _types(ids.type), strict=True)], names=names)
     if begun:
@@ -139,12 +212,12 @@ def _types(ids: pa.DataType) -> list[pa.DataType]:
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """One row per conversation of what :func:`read_back` reads: turns, their digest, characters and digest under the loss
-    mask, and the length of the formatted stream.
+    """One row per conversation of what its examples say, written out as by :func:`format_examples` and read back: turns,
+    their digest, characters and digest under the loss mask, and the length of the formatted conversation.
 
     A digest needs the turns of a conversation one after another, so each conversation goes in order through one task,
-    which holds one batch of rows at a time.
+    which reads the examples a few megabytes at a time where they are written.
     """
-    turns = read_back(pieces).repartition("conv_id").sortWithinPartitions("conv_id", "position")
     kind = pieces.schema["conv_id"].dataType.simpleString()
-    return turns.mapInArrow(_digested, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _in_order(pieces).mapInArrow(
+        lambda batches: _digested(_written(batches)), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
