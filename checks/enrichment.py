@@ -15,7 +15,7 @@ from tidewire.operators import scopes as sp
 from tidewire.operators import similarity as sm
 from tidewire.operators import summaries as su
 from tidewire.operators import viewpoints as vp
-from tidewire.session import shared_folder
+from tidewire.session import durable, shared_folder
 from tidewire.sources import pages as pg
 from tidewire.sources import tables as tb
 
@@ -180,7 +180,7 @@ query("finetune_set", """SELECT c.article_id, a.title || ' ' || a.content AS tex
 
 
 def binary(t):
-    rows = md.training_rows(t.sql("SELECT article_id, title, content AS clean_text, CASE WHEN sentiment = 'positive' THEN 'yes' WHEN sentiment = 'neutral' THEN 'no' END AS label FROM articles"))
+    rows = durable(md.training_rows(t.sql("SELECT article_id, title, content AS clean_text, CASE WHEN sentiment = 'positive' THEN 'yes' WHEN sentiment = 'neutral' THEN 'no' END AS label FROM articles")))
     train, test = md.stratified_split(rows)
     return md.score_binary(test, md.train_binary(train))
 

@@ -348,6 +348,30 @@ def test_term_weights_of_the_binary_model(spark):
         assert got.keys() == want.keys() and all(abs(got[t] - want[t] / size) < 1e-9 for t in want)
 
 
+def test_binary_model_makes_its_texts_once(spark):
+    import pytest
+
+    from tidewire.operators.models import binary_report, fit_terms, score_binary, train_binary
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [(i, "rates rise again today" if i % 2 else "rates fall again now", i % 2) for i in range(40)]
+    base = spark.createDataFrame(rows, "article_id int, text string, label int")
+    model = train_binary(base.withColumn("text", counted("text")), min_per_class=5)
+    assert made.value == 40
+    assert sorted(model.counts.stages[-1].vocabulary[:6]) == ["again now", "again today", "fall", "fall again", "now", "rates fall"]
+    made.value = 0
+    report = binary_report(score_binary(base.withColumn("text", counted("text")), model)).first()
+    assert made.value == 40 and (report["tp"], report["fp"], report["fn"], report["tn"], report["auc"]) == (20, 0, 0, 20, 1.0)
+    with pytest.raises(ValueError):
+        fit_terms(spark.createDataFrame([(1, "one two"), (2, "three four")], "article_id int, text string"))
+
+
 def test_patch_with_two_rows_of_a_key(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "k int, v string")
