@@ -372,6 +372,32 @@ def test_binary_model_makes_its_texts_once(spark):
         fit_terms(spark.createDataFrame([(1, "one two"), (2, "three four")], "article_id int, text string"))
 
 
+def test_tfidf_titles_repeats_and_plan(spark):
+    from dataclasses import replace
+
+    from tidewire.functions.packs import KOREAN
+    from tidewire.operators.topics import tfidf_keywords
+
+    pack = replace(KOREAN, keyword_stopwords=["stop"])
+    rows = [
+        (1, ["Rate", "rate", "stop", None, "market!", "", "x1"], ["rate", None, "rate", "market"]),
+        (2, ["market", "Rates", "Stop"], None), (2, ["bank"], ["bank", "market"]), (3, None, ["rate"]), (4, [], ["rate"]),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id int, tokens array<string>, title_nouns array<string>")
+    found = tfidf_keywords(docs, pack=pack)
+    got = {(r["doc_id"], r["keyword"]): r["score"] for r in found.collect()}
+    tf = {1: {"rate": 2, "market": 1}, 2: {"market": 1, "rates": 1, "bank": 1}}
+    boosted = {(1, "rate"), (1, "market"), (2, "bank")}
+    want = {}
+    for d, own in tf.items():
+        w = {t: (1 + math.log(n)) * (math.log(3 / (1 + sum(t in o for o in tf.values()))) + 1) for t, n in own.items()}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        want |= {(d, t): v / size + (0.3 if (d, t) in boosted else 0.0) for t, v in w.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan  # words are judged once each, not in the array of every document
+
+
 def test_patch_with_two_rows_of_a_key(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "k int, v string")

@@ -90,16 +90,15 @@ def is_valid_keyword(word, pack: TextPack = KOREAN, min_length: int = 2) -> Colu
     not verb-like; Latin words always pass the last test (H10)."""
     word = as_col(word)
     latin = word.rlike("^[a-zA-Z]+$")
-    short_native = word.rlike(f"^[{pack.script}]{{1,2}}$")
-    return (
+    short_native = (F.length(word) <= 2) & word.rlike(f"^[{pack.script}]{{1,2}}$")
+    usual = (
         (F.length(word) >= min_length)
-        & ~word.rlike(wide(r"\d"))
-        & word.rlike(r"\p{L}")
         & ~word.isin(*pack.keyword_stopwords)
         & ~F.lower(word).isin(*pack.keyword_stopwords)
         & (~short_native | word.isin(*pack.keyword_short_allowed))
-        & (latin | ~word.rlike(pack.verb_like_ending))
     )
+    # what a Latin word always fulfils is not asked of it
+    return usual & (latin | (~word.rlike(wide(r"\d")) & word.rlike(r"\p{L}") & ~word.rlike(pack.verb_like_ending)))
 
 
 def word_role(word, pack: TextPack = KOREAN) -> Column:

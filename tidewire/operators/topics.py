@@ -21,25 +21,29 @@ def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int | None = None, b
     length per document; a title noun that is among the tokens gets ``boost`` on top. Terms are lower-case, the title comparison
     is not. All steps are aggregations and joins; invalid terms leave before the k best are taken.
     """
-    # cleaned before the explode, so that the tests below read a column and do not repeat the cleaning;
-    # there is nothing to remove from a token of letters only
+    # cleaned before the explode, so that the tests below read a column and do not repeat the cleaning; there is nothing to
+    # remove from tokens of letters only, which is seen at once for all tokens of a document
     letters = f"^[{pack.script}a-zA-Z]+$"
-    cleaned = F.transform("tokens", lambda t: F.when(t.rlike(letters), t).otherwise(clean_token(t, pack)))
-    raw = docs.select("doc_id", F.explode(cleaned).alias("token"), "title_nouns")
-    valid = raw.filter(F.col("token").isNotNull() & F.col("token").rlike(letters) & is_valid_keyword("token", pack))
+    cleaned = F.when(F.array_join("tokens", "").rlike(letters), F.col("tokens")).otherwise(
+        F.transform("tokens", lambda t: F.when(t.rlike(letters), t).otherwise(clean_token(t, pack))))
+    # the title nouns among the tokens follow them, so that no row carries the nouns of its document
+    listed = docs.select("doc_id", cleaned.alias("tokens"), "title_nouns").select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.posexplode(F.concat("tokens", F.coalesce(F.array_intersect("title_nouns", "tokens"), F.array().cast("array<string>")))).alias("pos", "token"))
+    raw = listed.select("doc_id", "token", (F.col("pos") >= F.col("n_tokens")).alias("title"))
+    valid = raw.filter(F.col("token").isNotNull() & (F.col("token").rlike("^[a-zA-Z]+$") | F.col("token").rlike(letters)) & is_valid_keyword("token", pack))
     if extra_stopwords is not None:
         valid = valid.join(extra_stopwords.select(F.col("word").alias("token")), "token", "left_anti").join(
             extra_stopwords.select(F.lower("word").alias("_low")), F.lower("token") == F.col("_low"), "left_anti")
-    tagged = valid.select("doc_id", F.lower("token").alias("term"), (F.array_contains("title_nouns", F.col("token")) & (F.col("token") == F.lower("token"))).alias("in_title"))
+    tagged = valid.select("doc_id", F.lower("token").alias("term"), "title", (F.col("title") & (F.col("token") == F.lower("token"))).alias("in_title"))
     # three readers share the counts; cleaning and shuffling the tokens happens once
-    tf = durable(tagged.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("in_title").alias("in_title")))
+    tf = durable(tagged.groupBy("doc_id", "term").agg(F.count_if(~F.col("title")).alias("tf"), F.max("in_title").alias("in_title")))
     stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    best = (stats.orderBy(F.desc("total"), F.asc("term")).limit(vocabulary) if vocabulary else stats).select("term", "df")
+    best = (stats.orderBy(F.desc("total"), F.asc("term")).limit(vocabulary) if vocabulary else stats).select("term", "df", is_valid_keyword("term", pack).alias("fit"))
     n = tf.agg(F.count_distinct("doc_id")).scalar()
     weights = tf.join(best, "term").select(
-        "doc_id", "term", "in_title", ((1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("w")
+        "doc_id", "term", "in_title", "fit", ((1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("w")
     )
-    terms = F.collect_list(F.struct("term", "in_title", "w")).alias("terms")
+    terms = F.collect_list(F.when(F.col("fit"), F.struct("term", "in_title", "w"))).alias("terms")
     per_doc = weights.groupBy("doc_id").agg(terms, F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     scored = F.transform(
         "terms",
@@ -47,8 +51,7 @@ def tfidf_keywords(docs: DataFrame, k: int = 5, vocabulary: int | None = None, b
             (-(t["w"] / F.col("length") + F.when(t["in_title"], F.lit(boost)).otherwise(0.0))).alias("minus"), t["term"].alias("term")
         ),
     )
-    fit = F.filter(F.array_sort(scored), lambda x: is_valid_keyword(x["term"], pack))
-    top = per_doc.select("doc_id", F.posexplode(F.slice(fit, 1, k)).alias("pos", "x"))
+    top = per_doc.select("doc_id", F.posexplode(F.slice(F.sort_array(scored), 1, k)).alias("pos", "x"))
     return top.select(
         "doc_id", F.col("x.term").alias("keyword"), (F.col("pos") + 1).alias("rank"), (-F.col("x.minus")).alias("score")
     )
