@@ -398,6 +398,15 @@ def test_tfidf_titles_repeats_and_plan(spark):
     assert "array_sort" not in plan  # words are judged once each, not in the array of every document
 
 
+def test_scope_keywords_counts_old_and_new_ones_at_once(spark):
+    articles = spark.createDataFrame([("s", " a , b,,a"), ("s", "b,c"), ("t", None), ("u", ","), (None, "x")], "scope_id string, keywords string")
+    scopes = spark.createDataFrame([("s", "c,d"), ("u", None), ("v", "z")], "scope_id string, scope_keywords string")
+    both = ag.scope_keywords(articles, scopes, n=3)
+    assert {tuple(r) for r in both.collect()} == {("s", "c,a,b", "ok"), ("t", "", "insufficient"), ("u", "", "insufficient")}
+    aggregates = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [")
+    assert aggregates(both) == aggregates(ag.scope_keywords(articles, n=3))
+
+
 def test_patch_with_two_rows_of_a_key(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "k int, v string")

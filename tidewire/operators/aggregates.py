@@ -193,13 +193,12 @@ def scope_sentiment(articles: DataFrame, min_articles: int = 3) -> DataFrame:
 def scope_keywords(articles: DataFrame, existing: DataFrame | None = None, n: int = 5, is_array: bool = False, existing_weight: int = 2) -> DataFrame:
     """The n most frequent article keywords per scope; keywords the scope already has may count more."""
     held = articles.filter(F.col("scope_id").isNotNull())
-    words = held.filter(F.col("keywords").isNotNull()).select("scope_id", F.explode(keyword_list("keywords", is_array)).alias("keyword"))
-    counts = words.groupBy("scope_id", "keyword").agg(F.count("*").alias("weight"))
+    words = held.filter(F.col("keywords").isNotNull()).select("scope_id", F.explode(keyword_list("keywords", is_array)).alias("keyword"), F.lit(1).cast("bigint").alias("weight"))
     if existing is not None:
-        old = existing.filter(F.col("scope_keywords").isNotNull()).select(
+        words = words.unionByName(existing.filter(F.col("scope_keywords").isNotNull()).select(
             "scope_id", F.explode(keyword_list("scope_keywords")).alias("keyword"), F.lit(existing_weight).cast("bigint").alias("weight")
-        )
-        counts = counts.unionByName(old).groupBy("scope_id", "keyword").agg(F.sum("weight").alias("weight"))
+        ))
+    counts = words.groupBy("scope_id", "keyword").agg(F.sum("weight").alias("weight"))
     top = top_per(counts, ["scope_id"], [F.desc("weight"), F.asc("keyword")], n, "pos")
     joined = top.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("pos", "keyword")))["keyword"].alias("words"))
     return held.select("scope_id").distinct().join(joined, "scope_id", "left").select(
