@@ -407,6 +407,22 @@ def test_scope_keywords_counts_old_and_new_ones_at_once(spark):
     assert aggregates(both) == aggregates(ag.scope_keywords(articles, n=3))
 
 
+def test_viewpoint_conditions_used_several_times_are_made_once(spark):
+    from tidewire.operators.viewpoints import ViewpointWords, classify_viewpoints
+
+    words = ViewpointWords({"gov": ["tax"], "corp": ["firm"], "crit": ["bad"], "responsibility_anchor": ["blame"], "responsibility_denial": ["denies"], "responsibility_claim": ["claims"]})
+    rows = [("a", "tax tax", "denies all blame"), ("b", "tax tax", "claims the blame"), ("c", "tax tax", "denies it, and much later than that comes the blame"), ("d", None, None)]
+    out = classify_viewpoints(spark.createDataFrame([(*r, None, None) for r in rows], "article_id string, title string, clean_text string, sentiment string, sentiment_score double"), words)
+    got = {r["article_id"]: [(p["category"], p["score"]) for p in r["perspective"]] for r in out.collect()}
+    assert got["c"][0] == ("정부 책임", 9.2) and got["a"][0] == ("단순 전달", 0.9) and ("비판적 태도", 0.9) in got["b"] and ("비판적 태도", 0.9) not in got["c"]
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("(?s)(?:") == 2  # one for the denial and one for the claim
+
+
 def test_patch_with_two_rows_of_a_key(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     rows = spark.createDataFrame([(1, "x"), (1, "y"), (1, None)], "k int, v string")

@@ -189,9 +189,9 @@ def keyword_overlap_penalty(text, keywords) -> Column:
 
 
 def occurrences(text, word) -> Column:
-    """Non-overlapping occurrences of a non-empty word."""
+    """Non-overlapping occurrences of a non-empty word (H32); bytes are counted, as no character need be decoded for that."""
     text, word = as_col(text), word if isinstance(word, Column) else F.lit(word)
-    return ((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.length(word)).cast("int")
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))) / F.octet_length(word)).cast("int")
 
 
 def contains_any(text, words) -> Column:
@@ -230,7 +230,8 @@ def near(text, anchors, words, window: int) -> Column:
     """Some word lies inside ``window`` characters around an anchor occurrence.
 
     Whether a word stands before, after or across an anchor is known from the lists alone, so one regular expression
-    decides. Anchors that can overlap themselves count without overlaps and take the slower way over positions."""
+    decides, asked only of texts that hold an anchor and a word at all. Anchors that can overlap themselves count without
+    overlaps and take the slower way over positions."""
     if not anchors or not words:
         return F.lit(False)
     text = as_col(text)
@@ -238,7 +239,8 @@ def near(text, anchors, words, window: int) -> Column:
     patterns = _near_patterns(plain, words, window) if plain else []
     hit = text.rlike("(?s)" + "|".join(patterns)) if patterns else F.lit(False)
     tricky = [a for a in anchors if _overlaps_itself(a)]
-    return hit | _near_positions(text, tricky, words, window) if tricky else hit
+    hit = hit | _near_positions(text, tricky, words, window) if tricky else hit
+    return contains_any(text, anchors) & contains_any(text, words) & hit
 
 
 def _near_positions(text: Column, anchors, words, window: int) -> Column:

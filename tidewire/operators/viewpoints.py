@@ -97,19 +97,27 @@ def weighted_hits(words: list, title, body, title_weight: float, body_weight: fl
     return F.aggregate(per_word, F.lit(0.0), lambda s, x: s + x)
 
 
-def conditions(w: ViewpointWords, title: str = "T", body: str = "B", both: str = "X") -> dict:
-    """Named boolean Columns over title, body and both joined without a space."""
+def shared_conditions(w: ViewpointWords, title: str = "T", body: str = "B", both: str = "X") -> dict:
+    """Named boolean Columns that more than one of :func:`conditions` is made of, the costly ones above all."""
+    t, x = (lambda n: contains_any(title, w[n])), (lambda n: contains_any(both, w[n]))
+    victim = x("investor") & x("investor_victim")
+    return {
+        "denial": near(both, w["responsibility_anchor"], w["responsibility_denial"], 24),
+        "claim": near(both, w["responsibility_anchor"], w["responsibility_claim"], 24) & ~x("responsibility_fact"),
+        "enforcement": x("government_strict") & x("enforcement"),
+        "normative": near(both, w["regulation"], w["normative"], 18) | near(both, w["market_anchor"], w["normative"], 14),
+        "title_hit": t("government_strict") & t("government_failure"), "loose_hit": t("government_loose") & t("loose_failure"), "victim": victim,
+    }
+
+
+def conditions(w: ViewpointWords, title: str = "T", body: str = "B", both: str = "X", shared: dict | None = None) -> dict:
+    """Named boolean Columns over title, body and both joined without a space; ``shared`` has columns in which
+    :func:`shared_conditions` are made already."""
     t, b, x = (lambda n: contains_any(title, w[n])), (lambda n: contains_any(body, w[n])), (lambda n: contains_any(both, w[n]))
     spaced = F.concat_ws(" ", title, body)
     info = F.aggregate(F.transform(word_array(w["information"]), lambda word: occurrences(spaced, word)), F.lit(0), lambda s, n: s + n) >= 2
-    denial = near(both, w["responsibility_anchor"], w["responsibility_denial"], 24)
-    claim = near(both, w["responsibility_anchor"], w["responsibility_claim"], 24) & ~x("responsibility_fact")
-    enforcement = x("government_strict") & x("enforcement")
-    normative = near(both, w["regulation"], w["normative"], 18) | near(both, w["market_anchor"], w["normative"], 14)
+    denial, claim, enforcement, normative, title_hit, loose_hit, victim = (shared or shared_conditions(w, title, body, both)).values()
     market = x("market_direct") | normative
-    title_hit = t("government_strict") & t("government_failure")
-    loose_hit = t("government_loose") & t("loose_failure")
-    victim = x("investor") & x("investor_victim")
     return {
         "always": F.lit(True),
         "informative": info, "informative_neutral": info & ~x("critique"),
@@ -170,11 +178,13 @@ def classify_viewpoints(articles: DataFrame, words: ViewpointWords, pack: TextPa
         "article_id", rule_text("title", pack).alias("T"), rule_text("clean_text", pack).alias("B"), "sentiment",
         (F.least(F.coalesce("sentiment_score", F.lit(0.0)), F.lit(0.85)) * 2).alias("bias"),
     )).select("*", F.concat("T", "B").alias("X"))
+    made = shared_conditions(words)
+    ready = _settled(ready.select("*", *[test.alias(f"made_{name}") for name, test in made.items()]))  # each is used several times
     base = {key: base_score(words[key], "T", "B") for key in CATEGORIES}
     weak = words["weak_result"]
     context = contains_any("B", words["result_context"])
     base["result"] = base["result"] + weighted_hits(weak, "T", "B", 1.0, 0.2) + F.when(context, weighted_hits(weak, "T", "B", 1.5, 0.4)).otherwise(0.0)
-    tests = {f"is_{name}": F.coalesce(test, F.lit(False)) for name, test in conditions(words).items()}
+    tests = {f"is_{name}": F.coalesce(test, F.lit(False)) for name, test in conditions(words, shared={name: F.col(f"made_{name}") for name in made}).items()}
     seen = _settled(ready.select("article_id", "bias", *[c.alias(f"base_{k}") for k, c in base.items()], *[c.alias(n) for n, c in tests.items()]))
     steps: dict = {key: [_step()] for key in CATEGORIES}
     for condition, key, operation, value in EFFECTS:
