@@ -21,24 +21,25 @@ def dedup_ingest(raw: DataFrame, corpus: DataFrame, threshold: float = ko.NEAR_C
     skipped_duplicate_url, skipped_duplicate_meta, skipped_corpus_duplicate and skipped_similarity, else accepted.
 
     Reasons other than the first refer to rows accepted before this one; a rejected row never rejects another."""
-    tagged = durable(raw.withColumn("_missing", is_missing(required)))
-    whole = tagged.filter(~F.col("_missing")).select(
-        F.col("raw_id").alias("id"), "seq", "url", "title", "press", "article_id", F.col("raw_text").alias("text"))
-    fresh = durable(anti_any_key(whole, corpus))
-    keys = fresh.select("id", F.explode(F.array(
+    # the texts are not kept beside the table: they are read again where their words are wanted
+    tagged = durable(raw.select("seq", "raw_id", "url", "title", "press", "article_id", is_missing(required).alias("_missing")))
+    whole = tagged.filter(~F.col("_missing")).select(F.col("raw_id").alias("id"), "seq", "url", "title", "press", "article_id")
+    fresh = durable(anti_any_key(whole, corpus).select("id", "seq"))
+    keys = whole.join(fresh, "id", "left_semi").select("id", F.explode(F.array(
         F.concat(F.lit("u:"), "url"),
         F.concat(F.lit("m:"), F.sha2(F.concat_ws("\x1f", "title", "press"), 256)),
         F.concat(F.lit("a:"), F.nullif("article_id", F.lit(""))),
     )).alias("key")).filter(F.col("key").isNotNull())
-    kept = durable(first_come(fresh.select("id", "seq"), keys, text_signatures(fresh), threshold))
-    accepted = durable(whole.join(kept, "id", "left_semi").select("seq", "url", "title", "press", "article_id"))
+    texts = raw.select(F.col("raw_id").alias("id"), "seq", F.col("raw_text").alias("text"))
+    kept = first_come(fresh, keys, text_signatures(texts), threshold)
+    accepted = whole.join(kept, "id", "left_semi").select("seq", "url", "title", "press", "article_id")
 
     def earliest(columns, name):
         return accepted.groupBy(*columns).agg(F.min("seq").alias(name))
 
     known = fresh.select("id", F.lit(True).alias("_fresh"))
     marked = (
-        whole.select("id", "seq", "url", "title", "press", "article_id")
+        whole
         .join(earliest(["url"], "_u"), "url", "left")
         .join(earliest(["title", "press"], "_m"), ["title", "press"], "left")
         .join(earliest(["article_id"], "_a"), "article_id", "left")
