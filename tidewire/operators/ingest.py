@@ -59,7 +59,7 @@ def dedup_ingest(raw: DataFrame, corpus: DataFrame, threshold: float = ko.NEAR_C
 
 def accepted_articles(raw: DataFrame, statuses: DataFrame, pack: TextPack = KOREAN, tokenizer=None) -> DataFrame:
     """The accepted rows with clean text and tokens."""
-    rows = raw.join(statuses.filter(F.col("status") == "accepted").select("raw_id"), "raw_id", "left_semi")
+    rows = raw.join(durable(statuses.filter(F.col("status") == "accepted").select("raw_id")), "raw_id", "left_semi")
     return retokenise(reclean(rows.withColumnRenamed("raw_text", "content"), pack), pack, tokenizer)
 
 
